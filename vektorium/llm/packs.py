@@ -80,8 +80,8 @@ def buckets_for(packs: DataFrame) -> int:
     return max(1, packs.count())
 
 
-def ask(pack: int, kind: int, u: np.ndarray, counts: np.ndarray, buckets: int) -> list[dict]:
-    """Rows of ASKED for sorted distinct hashes u."""
+def ask(pack: int, kind: int, u: np.ndarray, counts: np.ndarray, buckets: int, shift: int = 0) -> list[dict]:
+    """Rows of ASKED for sorted distinct hashes u, whose lowest `shift` bits are zero and are not sent."""
     bounds = np.searchsorted(u, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64))
     bounds = np.append(bounds, len(u))
     out = []
@@ -90,7 +90,7 @@ def ask(pack: int, kind: int, u: np.ndarray, counts: np.ndarray, buckets: int) -
         if lo < hi:
             part = u[lo:hi].copy()
             part[1:] -= u[lo : hi - 1]
-            out.append({"bucket": b, "pack": pack, "kind": kind, "n": hi - lo, "hashes": squeeze(part), "counts": squeeze(counts[lo:hi].astype(np.uint32))})
+            out.append({"bucket": b, "pack": pack, "kind": kind, "n": hi - lo, "hashes": squeeze(part >> np.uint64(shift)), "counts": squeeze(counts[lo:hi].astype(np.uint32))})
     return out
 
 
