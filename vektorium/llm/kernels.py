@@ -129,3 +129,11 @@ def unsqueeze(b: bytes, dtype) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct entries; sorting 64-bit integers is much faster than hashing them."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]

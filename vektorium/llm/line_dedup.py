@@ -11,10 +11,11 @@ does not matter. Blank lines have no tokens and stay.
 3. Posting lists drop pairs by length, by the place of the common word, and by 64 parity bits
    of the token sets (their differing bits bound the symmetric difference from below).
 4. Lines of equal token sets are collapsed, inside a pack and again inside posting lists. From
-   each list a line sends on one candidate, its nearest by parity bits, so rows grow with lines
+   each list a line sends on its ``NEAREST`` candidates by parity bits, so rows grow with lines
    and not with pairs. Candidates are verified on the whole token sets.
-5. Lines that had candidates of which none was verified (few) go through a second, complete
-   round: only words of their prefixes are posted again, and all their candidates are verified.
+5. Lines that had more candidates than they sent on, of which none was verified (few), go
+   through a second, complete round: only words of their prefixes are posted again, and all
+   their candidates are verified.
 
 Words are compared by 40-bit hashes within pairs of lines. Defined cases: null and empty texts
 have one empty line and stay; equal lines of one text count, the first stays; rows with the same
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SPACE, column_bytes, mix, run_hashes, runs, squeeze, unsqueeze
+from .kernels import SPACE, column_bytes, distinct, mix, run_hashes, runs, squeeze, unsqueeze
 from .packs import ASKED, PACK_BYTES, answer, ask, asked, buckets_for, each_pack, make_packs, told
 from .shared import cut, table
 
@@ -42,8 +43,9 @@ _LINE[10] = True
 _COLS = [("tok", np.uint64), ("ord", np.uint32), ("doc", np.int64), ("len", np.uint32), ("pos", np.uint32), ("parity", np.uint64), ("sig", np.uint32), ("flag", np.uint8)]
 _POSTED = "bucket long, pack long, n long, " + ", ".join(f"{c} binary" for c, _ in _COLS)
 _POSTED_ARROW = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c, _ in _COLS])
-_FOUND = "pack long, ord long, with_pack long, with_ord long"
-_FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64())])
+_FOUND = "pack long, ord long, with_pack long, with_ord long, more int"
+_FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64()), ("more", pa.int32())])
+NEAREST = 4
 
 
 class _Lines:
@@ -69,8 +71,8 @@ class _Lines:
         if tokens:
             starts, ends, _ = runs(data, offs, SPACE)
             h = run_hashes(data, starts, ends) >> np.uint64(64 - _TOKEN)
-            line = np.searchsorted(self.starts, starts, "right") - 1
-            both = np.unique(line.astype(np.uint64) << np.uint64(_TOKEN) | h)
+            line = np.repeat(np.arange(total), np.diff(np.append(np.searchsorted(starts, self.starts), len(starts))))
+            both = distinct(line.astype(np.uint64) << np.uint64(_TOKEN) | h)
             self.tok = both & np.uint64((1 << _TOKEN) - 1)
             self.line = (both >> np.uint64(_TOKEN)).astype(np.int64)
             self.len = np.bincount(self.line, minlength=total)
@@ -130,20 +132,17 @@ def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: n
         lo, hi = int(bounds[b]), int(bounds[b + 1])
         if lo < hi:
             rows.append({"bucket": b, "pack": pack, "n": hi - lo} | {c: squeeze(out[c][lo:hi].astype(kind)) for c, kind in _COLS})
+    if bitmap is None:  # copies inside the pack travel as they are
+        rows.append({"bucket": -1 - pack, "pack": pack, "n": 0, "ord": squeeze(s[~new].astype(np.uint32))})
     return pa.Table.from_pylist(rows, schema=_POSTED_ARROW)
 
 
-def _copies_in_pack(lines: _Lines, ids: np.ndarray, parity: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Lines with an earlier line of the same token set in the same pack."""
-    some = np.flatnonzero(lines.len)
-    s = some[np.lexsort((some, ids[lines.row[some]], sig[some], parity[some], lines.len[some]))]
-    old = np.zeros(len(s), bool)
-    old[1:] = (lines.len[s][1:] == lines.len[s][:-1]) & (parity[s][1:] == parity[s][:-1]) & (sig[s][1:] == sig[s][:-1])
-    return s[old]
-
-
 def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
     """One bucket's posting lists: copies (with_pack -1) and candidates. complete: all candidates of flagged lines."""
+    if t["bucket"][0].as_py() < 0:
+        o = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in t["ord"]]).astype(np.int64)
+        none = np.full(len(o), -1)
+        return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none, np.zeros(len(o), np.int32)], schema=_FOUND_ARROW)
     packs = np.repeat(t["pack"].to_numpy(), t["n"].to_numpy())
     c = {name: np.concatenate([unsqueeze(x.as_py(), kind) for x in t[name]]) for name, kind in _COLS}
     order = np.lexsort((c["ord"], packs, c["doc"], c["sig"], c["parity"], c["len"], c["tok"]))
@@ -158,7 +157,8 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
     left = left[np.lexsort((c["ord"][left], packs[left], c["doc"][left], c["tok"][left]))]
     tok, n, pos, parity = c["tok"][left], c["len"][left].astype(np.int64), c["pos"][left].astype(np.int64), c["parity"][left]
     ends = np.searchsorted(tok, tok, "right")
-    best, nearest = np.full(len(left), -1), np.full(len(left), 1 << 30)
+    best, nearest = np.full((len(left), NEAREST), -1), np.full((len(left), NEAREST), 1 << 30)
+    many = np.zeros(len(left), np.int64)
     pairs = []
     at, step = np.arange(len(left)), 0
     while True:
@@ -182,19 +182,21 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
         if complete:
             pairs.append((j, i))
         else:
-            better = apart < nearest[j]
-            best[j[better]], nearest[j[better]] = i[better], apart[better]
+            many[j] += 1  # a line comes up once in each step
+            worst = nearest[j].argmax(axis=1)
+            better = apart < nearest[j, worst]
+            best[j[better], worst[better]], nearest[j[better], worst[better]] = i[better], apart[better]
     if complete:
         j = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
         i = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
     else:
-        j = np.flatnonzero(best >= 0)
-        i = best[j]
+        j, slot = np.nonzero(best >= 0)
+        i = best[j, slot]
     a, b = left[j], left[i]
     none = np.full(len(copies), -1)
     if complete:
         copies, none = copies[:0], none[:0]
-    return pa.table([np.concatenate([packs[a], packs[copies]]), np.concatenate([c["ord"][a], c["ord"][copies]]).astype(np.int64), np.concatenate([packs[b], none]), np.concatenate([c["ord"][b].astype(np.int64), none])], schema=_FOUND_ARROW)
+    return pa.table([np.concatenate([packs[a], packs[copies]]), np.concatenate([c["ord"][a], c["ord"][copies]]).astype(np.int64), np.concatenate([packs[b], none]), np.concatenate([c["ord"][b].astype(np.int64), none]), np.concatenate([(many[j] > NEAREST).astype(np.int32), np.zeros(len(copies), np.int32)])], schema=_FOUND_ARROW)
 
 
 def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -202,9 +204,11 @@ def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> D
     wanted = pairs.select("pack", "ord").unionByName(pairs.select(F.col("with_pack").alias("pack"), F.col("with_ord").alias("ord"))).distinct()
 
     def fetch(pack, t, w):
-        ords = np.unique(w["ord"].to_numpy())
-        lines = _Lines(t, k)
-        sets = [lines.tok[lines.at[o] : lines.at[o + 1]].astype(np.int64) for o in ords.tolist()]
+        ords = distinct(w["ord"].to_numpy())
+        lines = _Lines(t, k, tokens=False)
+        raw = lines.data.tobytes()
+        own = _Lines(pa.table({f"c{k}": pa.array([raw[a:b] for a, b in zip(lines.starts[ords].tolist(), lines.ends[ords].tolist())], pa.binary())}), k)
+        sets = [own.tok[own.at[o] : own.at[o + 1]].astype(np.int64) for o in range(len(ords))]
         return pa.table({"pack": pa.array(np.full(len(ords), pack)), "ord": pa.array(ords, pa.int64()), "tokens": pa.array(sets, pa.list_(pa.int64()))})
 
     sets = cut(each_pack(packs, fetch, "pack long, ord long, tokens array<long>", wanted))
@@ -227,7 +231,7 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
 
     def common(t, replies):
         lines = _Lines(t, k)
-        u = np.unique(lines.tok)
+        u = distinct(lines.tok)
         ids = t["c0"].fill_null(-(1 << 62)).to_numpy()
         return lines, ids, u, told(replies, 0, u << np.uint64(64 - _TOKEN), buckets)
 
@@ -235,20 +239,13 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
         lines, ids, u, total = common(t, replies)
         return _postings(pack, lines, ids, total, u, buckets, threshold, None, None)
 
-    def copies(pack, t, _):
-        lines = _Lines(t, k)
-        ids = t["c0"].fill_null(-(1 << 62)).to_numpy()
-        o = _copies_in_pack(lines, ids, *_identity(lines))
-        return pa.table({"pack": pa.array(np.full(len(o), pack), pa.int64()), "ord": pa.array(o, pa.int64())})
-
-    inside = each_pack(packs, copies, "pack long, ord long")
     found = each_pack(packs, post, _POSTED, totals).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, False), _FOUND)
-    found = cut(found.distinct())
+    found = cut(found.groupBy("pack", "ord", "with_pack", "with_ord").agg(F.max("more").alias("more")))
     sure = found.where("with_pack = -1").select("pack", "ord")
-    pairs = found.where("with_pack >= 0").join(sure.distinct(), ["pack", "ord"], "left_anti")
+    pairs = found.where("with_pack >= 0").join(sure, ["pack", "ord"], "left_anti")
     first = cut(_verified(packs, pairs, k, threshold))
-    gone = inside.unionByName(sure).unionByName(first)
-    unsure = cut(pairs.select("pack", "ord").distinct().join(first, ["pack", "ord"], "left_anti"))
+    gone = sure.unionByName(first)
+    unsure = cut(pairs.groupBy("pack", "ord").agg(F.max("more").alias("more")).where("more > 0").select("pack", "ord").join(first, ["pack", "ord"], "left_anti"))
     if unsure.head(1):  # the complete round, for lines whose nearest candidates failed
         size = 1 << 20
 
@@ -275,7 +272,7 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
             return _postings(pack, lines, ids, total, u, buckets, threshold, open_, np.unpackbits(sent.value).astype(bool))
 
         more = each_pack(packs, again, _POSTED, mixed).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, True), _FOUND)
-        more = cut(more.distinct().join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
+        more = cut(more.drop("more").distinct().join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
         gone = gone.unionByName(_verified(packs, more, k, threshold))
     return gone.distinct()
 

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .kernels import column_bytes, run_hashes, runs, window_hashes
 from .packs import ASKED, PACK_BYTES, answer, ask, asked, buckets_for, each_pack, make_packs, told
-from .shared import cut
 
 RESULT = "doc_id long, n_words long, n_full long, score double, mean_score double"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_full", pa.int64()), ("score", pa.float64()), ("mean_score", pa.float64())])
@@ -79,7 +78,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         sizes = np.diff(runs(*column_bytes(t["c1"]))[2])
         return pa.table({"words": pa.array([int(sizes.sum())], pa.int64())})
 
-    answers = cut(answer(each_pack(packs, count, ASKED)))
+    answers = answer(each_pack(packs, count, ASKED))
     words = each_pack(packs, totals, "words long").agg(F.sum("words")).first()[0] or 0
 
     def score(pack, t, replies):

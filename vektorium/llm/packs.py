@@ -32,7 +32,7 @@ ANSWERED = "pack long, bucket long, kind int, n long, hit binary, totals binary"
 def _seal(batches: list[pa.RecordBatch], names: list[str]) -> bytes:
     t = pa.Table.from_batches(batches).rename_columns(names).combine_chunks()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 

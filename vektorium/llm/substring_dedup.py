@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import column_bytes, run_hashes, runs, window_hashes
+from .kernels import column_bytes, distinct, run_hashes, runs, window_hashes
 from .packs import ASKED, PACK_BYTES, answer, ask, asked, buckets_for, each_pack, make_packs, told
 from .shared import cut
 
@@ -85,7 +85,7 @@ class _Text:
                 break
             ok = np.ones(len(alive), bool)
             sent = self.places(level, lengths, alive)
-            u = np.unique(self.hashes(level, lengths, np.unique(np.concatenate(sent))))
+            u = distinct(self.hashes(level, lengths, distinct(np.concatenate(sent))))
             total = told(replies, level, u, buckets)
             for at in sent:
                 ok &= total[np.searchsorted(u, self.hashes(level, lengths, at))] >= 2
@@ -109,7 +109,7 @@ def removed_words(docs: DataFrame, width: int, pack_bytes: int, finish, schema:
             if not len(alive):
                 return asked([])
             # every occurrence counts: a place is sent once, however many windows it stands for
-            at = np.unique(np.concatenate(text.places(level, lengths, alive)))
+            at = distinct(np.concatenate(text.places(level, lengths, alive)))
             u, c = np.unique(text.hashes(level, lengths, at), return_counts=True)
             return asked(ask(pack, level, u, c, buckets))
 
