@@ -12,7 +12,7 @@ double precision. A pair counts in the first bucket it shares only, so counts ne
 pairs; blocks send on counts and a spanning forest of their links.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
-vectors without a label, link with nothing and are components of their own; vectors of other
+vectors without a label or vec_id, link with nothing and are components of their own; vectors of other
 lengths are compared with those of their own length only; rows with the same vec_id and vector
 are copies of each other; an empty table gives no rows; further columns are dropped.
 """
@@ -119,7 +119,7 @@ def _compare(x: np.ndarray, shared: np.ndarray, weight: np.ndarray, left: np.nda
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"), "label")
-    sound = F.col("label").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True)) & F.coalesce(F.exists("x", lambda v: v != 0), F.lit(False))
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True)) & F.coalesce(F.exists("x", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("x", F.when(sound, F.transform("x", lambda v: v + F.lit(0.0))))  # -0.0 + 0.0 = 0.0
     good = rows.where("x IS NOT NULL")
     classes = cut(good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")))

@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,11 +251,11 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
         size = 1 << 20
 
         def prefix_words(pack, t, both):
-            lines, ids, u, total = common(t, both.filter(pa.compute.is_valid(both["kind"])).select(["pack", "bucket", "kind", "n", "hit", "totals"]))
-            open_ = both.filter(pa.compute.is_null(both["kind"]))["ord"].to_numpy()
+            lines, ids, u, total = common(t, both.filter(pc.is_valid(both["kind"])).select(["pack", "bucket", "kind", "n", "hit", "totals"]))
+            open_ = both.filter(pc.is_null(both["kind"]))["ord"].to_numpy()
             rows = _postings(pack, lines, ids, total, u, 1, threshold, open_, None)
             bits = np.zeros(size, bool)
-            for r in rows.to_pylist():
+            for r in rows.filter(pc.greater_equal(rows["bucket"], 0)).to_pylist():
                 w = unsqueeze(r["tok"], np.uint64)[unsqueeze(r["flag"], np.uint8) > 0]
                 bits[(w & np.uint64(size - 1)).astype(np.int64)] = True
             at = np.flatnonzero(bits)
@@ -267,8 +268,8 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
         sent = packs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
         def again(pack, t, both):
-            lines, ids, u, total = common(t, both.filter(pa.compute.is_valid(both["kind"])).select(["pack", "bucket", "kind", "n", "hit", "totals"]))
-            open_ = both.filter(pa.compute.is_null(both["kind"]))["ord"].to_numpy()
+            lines, ids, u, total = common(t, both.filter(pc.is_valid(both["kind"])).select(["pack", "bucket", "kind", "n", "hit", "totals"]))
+            open_ = both.filter(pc.is_null(both["kind"]))["ord"].to_numpy()
             return _postings(pack, lines, ids, total, u, buckets, threshold, open_, np.unpackbits(sent.value).astype(bool))
 
         more = each_pack(packs, again, _POSTED, mixed).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, True), _FOUND)

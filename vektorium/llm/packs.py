@@ -3,9 +3,9 @@
 Operators that must look at every text several times (n-gram scoring, substring and line
 dedup) first turn the table into *packs* of a few MB. A pack is one Spark row with an id
 and a zstd-compressed Arrow IPC stream of whole rows, so any column passes through. Packs
-are checkpointed where they were made: later passes read them without decoding the table
-again, and what a pack holds is fixed before anything refers to it, so lost executors
-cannot change it. Only where a table came in few partitions are packs dealt out anew.
+are dealt by id and checkpointed once: later passes, cogroups by pack included, read them
+without another shuffle of text, and what a pack holds is fixed before anything refers to
+it, so lost executors cannot change it.
 
 ``ask`` sends each pack's distinct hashes, with local counts, to hash ranges; ``answer``
 adds the counts up over all packs and sends back to each pack which of its hashes occur at
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import squeeze, unsqueeze
-from .shared import cut, tasks
+from .shared import cut_dealt, tasks
 
 PACK_BYTES = 8 << 20
 ASKED = "bucket long, pack long, kind int, n long, hashes binary, counts binary"
@@ -42,7 +42,7 @@ def unseal(blob: bytes) -> pa.Table:
 
 
 def make_packs(df: DataFrame, size: int = PACK_BYTES) -> DataFrame:
-    """(pack long, rows long, blob binary), checkpointed. Column k is stored as ``c<k>``."""
+    """(pack long, rows long, blob binary), checkpointed and dealt by pack. Column k is stored as ``c<k>``."""
     names = [f"c{k}" for k in range(len(df.columns))]
 
     def run(batches):
@@ -71,9 +71,7 @@ def make_packs(df: DataFrame, size: int = PACK_BYTES) -> DataFrame:
         if held:
             yield out()
 
-    packs = cut(df.toDF(*names).mapInArrow(run, "pack long, rows long, blob binary"))
-    n = tasks(df.sparkSession)
-    return cut(packs.repartition(n, "pack")) if packs.rdd.getNumPartitions() * 4 < n else packs
+    return cut_dealt(df.toDF(*names).mapInArrow(run, "pack long, rows long, blob binary"), tasks(df.sparkSession), "pack")
 
 
 def buckets_for(packs: DataFrame) -> int:

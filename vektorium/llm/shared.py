@@ -32,6 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Checkpoint df dealt by key into n partitions, sorted by it, so that later joins and cogroups by key don't move it again.
+
+    The planner forgets how a checkpoint was dealt where adaptive execution made it, so that is off for this one job.
+    """
+    prepare(df.sparkSession)
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.repartition(n, key).sortWithinPartitions(key).checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

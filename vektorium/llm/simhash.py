@@ -9,7 +9,8 @@ large-star and small-star steps.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; a
 text of one or two words has one shingle, its whole word sequence; repeated rows fall into one
-component; an empty table gives no rows; further columns are dropped by ``near_duplicates``.
+component; rows without doc_id link nothing and are kept, with the component of their fingerprint
+if it has one; an empty table gives no rows; further columns are dropped by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -157,9 +158,9 @@ def near_duplicates(docs: DataFrame, most: int = 3, words: int = 3) -> DataFrame
     """(doc_id, fingerprint, component_id, kept) for every row of docs(doc_id, text)."""
     fps = cut(fingerprints(docs, words))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = connected_components(links(classes.select("rep", "fp"), most))
+    comp = connected_components(links(classes.select("rep", "fp").where("rep IS NOT NULL"), most))
     named = classes.join(comp, classes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
 def representatives(docs: DataFrame, most: int = 3, words: int = 3) -> DataFrame:
