@@ -8,11 +8,13 @@ does not matter. Blank lines have no tokens and stay.
 2. Prefix filter: similar lines share a word among the first n - ceil(t * n) + 1 of their n
    tokens, so only these are posted, by ranges of the word's hash; words of one line only are
    not posted at all.
-3. Posting lists drop pairs by length, by the place of the common word, and by 64 parity bits
-   of the token sets (their differing bits bound the symmetric difference from below).
+3. Posting lists drop pairs by length, by the place of the common word, and by parity bits of
+   the token sets (their differing bits bound the symmetric difference from below): 64 bits,
+   128 for lines of more than ``WIDE[0]`` words and 256 for more than ``WIDE[1]``.
 4. Lines of equal token sets are collapsed, inside a pack and again inside posting lists. From
    each list a line sends on its ``NEAREST`` candidates by parity bits, so rows grow with lines
-   and not with pairs. Candidates are verified on the whole token sets.
+   and not with pairs. Candidates are verified on the whole token sets: the pack of the earlier
+   line sends the sets that a pack asks for, each once.
 5. Lines that had more candidates than they sent on, of which none was verified (few), go
    through a second, complete round: only words of their prefixes are posted again, and all
    their candidates are verified.
@@ -41,12 +43,17 @@ THRESHOLD = 0.8
 _TOKEN = 40
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
-_COLS = [("tok", np.uint64), ("ord", np.uint32), ("doc", np.int64), ("len", np.uint32), ("pos", np.uint32), ("parity", np.uint64), ("sig", np.uint32), ("flag", np.uint8)]
+# of each posting; v1 is there for lines of more than WIDE[0] words, w2 and w3 for more than WIDE[1]
+_COLS = [("tok", np.uint64), ("ord", np.uint32), ("doc", np.int64), ("len", np.uint32), ("pos", np.uint32), ("parity", np.uint64), ("v1", np.uint64), ("w2", np.uint64), ("w3", np.uint64), ("sig", np.uint32), ("flag", np.uint8)]
 _POSTED = "bucket long, pack long, n long, " + ", ".join(f"{c} binary" for c, _ in _COLS)
 _POSTED_ARROW = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c, _ in _COLS])
 _FOUND = "pack long, ord long, with_pack long, with_ord long, more int"
 _FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64()), ("more", pa.int32())])
-NEAREST = 4
+_SETS = "pack long, from_pack long, ords binary, lens binary, toks binary"
+_SETS_ARROW = pa.schema([("pack", pa.int64()), ("from_pack", pa.int64()), ("ords", pa.binary()), ("lens", pa.binary()), ("toks", pa.binary())])
+NEAREST = 2
+WIDE = (80, 180)
+_WIDER = {"v1": WIDE[0], "w2": WIDE[1], "w3": WIDE[1]}
 
 
 class _Lines:
@@ -85,19 +92,41 @@ def _need(a, b, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
 
-def _identity(lines: _Lines) -> tuple[np.ndarray, np.ndarray]:
+def _identity(lines: _Lines) -> dict[str, np.ndarray]:
+    """Parities of each token set and a signature. Of 256 parity bits w0 to w3, v0 and v1 are the 128 got by
+    folding once and ``parity`` the 64 got by folding twice; parity, v1, w2 and w3 hold all of them."""
     some = np.flatnonzero(lines.len)
-    parity, sig = np.zeros(len(lines.len), np.uint64), np.zeros(len(lines.len), np.uint32)
+    out = {c: np.zeros(len(lines.len), np.uint64) for c in ("parity", "v1", "w2", "w3")} | {"sig": np.zeros(len(lines.len), np.uint32)}
     if len(some):
         h = mix(lines.tok.copy())
-        parity[some] = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), lines.at[some])
-        sig[some] = np.bitwise_xor.reduceat(h >> np.uint64(32), lines.at[some]).astype(np.uint32)
-    return parity, sig
+        bit, word = np.uint64(1) << (h & np.uint64(63)), h >> np.uint64(6) & np.uint64(3)
+        for c, ok in (("parity", None), ("v1", word & np.uint64(1)), ("w2", word == 2), ("w3", word == 3)):
+            out[c][some] = np.bitwise_xor.reduceat(bit if ok is None else bit * ok.astype(np.uint64), lines.at[some])
+        out["sig"][some] = np.bitwise_xor.reduceat(h >> np.uint64(32), lines.at[some]).astype(np.uint32)
+    return out
+
+
+def _apart(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Differing parity bits of the pairs i, j at the widest width that both have; least: the smaller length."""
+    f = c["parity"][i] ^ c["parity"][j]
+    out = np.bitwise_count(f).astype(np.int64)
+    for k, wide in enumerate(WIDE):
+        at = np.flatnonzero(least > wide)
+        if len(at):
+            a, b = i[at], j[at]
+            v1 = c["v1"][a] ^ c["v1"][b]
+            words = [f[at] ^ v1, v1]
+            if k:
+                w2, w3 = c["w2"][a] ^ c["w2"][b], c["w3"][a] ^ c["w3"][b]
+                words = [words[0] ^ w2, v1 ^ w3, w2, w3]
+            out[at] = sum(np.bitwise_count(w).astype(np.int64) for w in words)
+    return out
 
 
 def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: np.ndarray, buckets: int, threshold: float, open_: np.ndarray | None, bitmap: np.ndarray | None) -> pa.Table:
     """Rows of _POSTED. open_: lines of the second round, bitmap: hashed words that they post."""
-    parity, sig = _identity(lines)
+    own = _identity(lines)
+    parity, sig = own["parity"], own["sig"]
     some = np.flatnonzero(lines.len)
     # the earliest line of each token set stands for the others of this pack
     order = np.lexsort((some, ids[lines.row[some]], sig[some], parity[some], lines.len[some]))
@@ -123,7 +152,7 @@ def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: n
     first = np.ones(len(k), bool)
     first[1:] = line[k][1:] != line[k][:-1]
     flag = first.astype(np.uint8) if open_ is None else np.isin(line[k], open_).astype(np.uint8)
-    out = {"tok": u[word[k]], "ord": line[k].astype(np.uint32), "doc": ids[lines.row[line[k]]], "len": n[k].astype(np.uint32), "pos": pos[k].astype(np.uint32), "parity": parity[line[k]], "sig": sig[line[k]], "flag": flag}
+    out = {"tok": u[word[k]], "ord": line[k].astype(np.uint32), "doc": ids[lines.row[line[k]]], "len": n[k].astype(np.uint32), "pos": pos[k].astype(np.uint32), "flag": flag} | {c: v[line[k]] for c, v in own.items()}
     order = np.argsort(out["tok"], kind="stable")
     out = {c: v[order] for c, v in out.items()}
     bounds = np.searchsorted(out["tok"], np.array([(b << _TOKEN) // buckets for b in range(buckets)], np.uint64))
@@ -132,7 +161,10 @@ def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: n
     for b in range(buckets):
         lo, hi = int(bounds[b]), int(bounds[b + 1])
         if lo < hi:
-            rows.append({"bucket": b, "pack": pack, "n": hi - lo} | {c: squeeze(out[c][lo:hi].astype(kind)) for c, kind in _COLS})
+            part = {c: out[c][lo:hi].astype(kind) for c, kind in _COLS}
+            for c, wide in _WIDER.items():
+                part[c] = part[c][part["len"] > wide]
+            rows.append({"bucket": b, "pack": pack, "n": hi - lo} | {c: squeeze(v) for c, v in part.items()})
     if bitmap is None:  # copies inside the pack travel as they are
         rows.append({"bucket": -1 - pack, "pack": pack, "n": 0, "ord": squeeze(s[~new].astype(np.uint32))})
     return pa.Table.from_pylist(rows, schema=_POSTED_ARROW)
@@ -146,6 +178,10 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
         return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none, np.zeros(len(o), np.int32)], schema=_FOUND_ARROW)
     packs = np.repeat(t["pack"].to_numpy(), t["n"].to_numpy())
     c = {name: np.concatenate([unsqueeze(x.as_py(), kind) for x in t[name]]) for name, kind in _COLS}
+    for name, wide in _WIDER.items():
+        full = np.zeros(len(packs), np.uint64)
+        full[c["len"] > wide] = c[name]
+        c[name] = full
     order = np.lexsort((c["ord"], packs, c["doc"], c["sig"], c["parity"], c["len"], c["tok"]))
     same = np.zeros(len(order), bool)
     for name in ("tok", "len", "parity", "sig"):
@@ -154,9 +190,12 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
     copies = order[same]
     if not complete:  # equal sets meet at their first posted word; say it there only
         copies = copies[c["flag"][copies] > 0]
+    copies = packs[copies], c["ord"][copies].astype(np.int64)
     left = order[~same]
     left = left[np.lexsort((c["ord"][left], packs[left], c["doc"][left], c["tok"][left]))]
-    tok, n, pos, parity = c["tok"][left], c["len"][left].astype(np.int64), c["pos"][left].astype(np.int64), c["parity"][left]
+    c = {name: v[left] for name, v in c.items()}
+    packs = packs[left]
+    tok, n, pos = c["tok"], c["len"].astype(np.int64), c["pos"].astype(np.int64)
     ends = np.searchsorted(tok, tok, "right")
     best, nearest = np.full((len(left), NEAREST), -1), np.full((len(left), NEAREST), 1 << 30)
     many = np.zeros(len(left), np.int64)
@@ -169,7 +208,7 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
             break
         i, j = at, at + step  # j is the later line
         if complete:
-            on = c["flag"][left[j]] > 0
+            on = c["flag"][j] > 0
             i, j = i[on], j[on]
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = small >= threshold * large - 1e-9
@@ -177,7 +216,7 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
         need = _need(n[i], n[j], threshold)
         ok = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
         i, j, need = i[ok], j[ok], need[ok]
-        apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
+        apart = _apart(c, i, j, np.minimum(n[i], n[j]))
         ok = apart <= n[i] + n[j] - 2 * need
         i, j, apart = i[ok], j[ok], apart[ok]
         if complete:
@@ -193,30 +232,65 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
     else:
         j, slot = np.nonzero(best >= 0)
         i = best[j, slot]
-    a, b = left[j], left[i]
-    none = np.full(len(copies), -1)
     if complete:
-        copies, none = copies[:0], none[:0]
-    return pa.table([np.concatenate([packs[a], packs[copies]]), np.concatenate([c["ord"][a], c["ord"][copies]]).astype(np.int64), np.concatenate([packs[b], none]), np.concatenate([c["ord"][b].astype(np.int64), none]), np.concatenate([(many[j] > NEAREST).astype(np.int32), np.zeros(len(copies), np.int32)])], schema=_FOUND_ARROW)
+        copies = copies[0][:0], copies[1][:0]
+    none = np.full(len(copies[0]), -1)
+    out = [packs[j], c["ord"][j].astype(np.int64), packs[i], c["ord"][i].astype(np.int64), (many[j] > NEAREST).astype(np.int32)]
+    _, one = np.unique(np.stack(out[:4]), axis=1, return_index=True)  # a pair that met at several words
+    more = [none, none, np.zeros(len(none), np.int32)]
+    return pa.table([np.concatenate([x[one], y]) for x, y in zip(out, [*copies, *more])], schema=_FOUND_ARROW)
 
 
-def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those pairs of lines whose whole token sets have the similarity."""
-    wanted = pairs.select("pack", "ord").unionByName(pairs.select(F.col("with_pack").alias("pack"), F.col("with_ord").alias("ord"))).distinct()
+def _sets(t: pa.Table, k: int, ords: np.ndarray) -> _Lines:
+    """The token sets of these lines of a pack (in this order)."""
+    lines = _Lines(t, k, tokens=False)
+    raw = lines.data.tobytes()
+    return _Lines(pa.table({f"c{k}": pa.array([raw[a:b] for a, b in zip(lines.starts[ords].tolist(), lines.ends[ords].tolist())], pa.binary())}), k)
 
-    def fetch(pack, t, w):
-        ords = distinct(w["ord"].to_numpy())
-        lines = _Lines(t, k, tokens=False)
-        raw = lines.data.tobytes()
-        own = _Lines(pa.table({f"c{k}": pa.array([raw[a:b] for a, b in zip(lines.starts[ords].tolist(), lines.ends[ords].tolist())], pa.binary())}), k)
-        sets = [own.tok[own.at[o] : own.at[o + 1]].astype(np.int64) for o in range(len(ords))]
-        return pa.table({"pack": pa.array(np.full(len(ords), pack)), "ord": pa.array(ords, pa.int64()), "tokens": pa.array(sets, pa.list_(pa.int64()))})
-
-    sets = cut(each_pack(packs, fetch, "pack long, ord long, tokens array<long>", wanted))
-    other = sets.select(F.col("pack").alias("with_pack"), F.col("ord").alias("with_ord"), F.col("tokens").alias("others"))
-    both = pairs.join(sets, ["pack", "ord"]).join(other, ["with_pack", "with_ord"])
-    common = F.size(F.array_intersect("tokens", "others"))
-    return both.where(common >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.size("tokens") + F.size("others")) - 1e-9)).select("pack", "ord").distinct()
+
+def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(pack, ord) of those of pairs(pack, ord, with_pack, with_ord) whose whole token sets have the similarity."""
+    wanted = pairs.select(F.col("with_pack").alias("pack"), F.col("with_ord").alias("ord"), F.col("pack").alias("to")).distinct()
+
+    def send(pack, t, w):
+        if pack is None or not w.num_rows:
+            return _SETS_ARROW.empty_table()
+        ords, to, out = w["ord"].to_numpy(), w["to"].to_numpy(), []
+        every = distinct(ords)
+        own = _sets(t, k, every)
+        for p in distinct(to).tolist():
+            mine = distinct(ords[to == p])
+            at = np.searchsorted(every, mine)
+            toks = np.concatenate([own.tok[own.at[x] : own.at[x + 1]] for x in at.tolist()])
+            out.append({"pack": p, "from_pack": pack, "ords": squeeze(mine), "lens": squeeze(own.len[at].astype(np.uint32)), "toks": squeeze(toks)})
+        return pa.Table.from_pylist(out, schema=_SETS_ARROW)
+
+    sets = each_pack(packs, send, _SETS, wanted)
+
+    def verify(pack, t, both):
+        pairs = both.filter(pc.is_null(both["from_pack"]))
+        none = pa.table({"pack": pa.array([], pa.int64()), "ord": pa.array([], pa.int64())})
+        if pack is None or not pairs.num_rows:
+            return none
+        others = {}
+        for r in both.filter(pc.is_valid(both["from_pack"])).to_pylist():
+            cuts = np.cumsum(unsqueeze(r["lens"], np.uint32).astype(np.int64))[:-1]
+            for o, x in zip(unsqueeze(r["ords"], np.int64).tolist(), np.split(unsqueeze(r["toks"], np.uint64), cuts)):
+                others[r["from_pack"], o] = x
+        ords = distinct(pairs["ord"].to_numpy())
+        own, good = _sets(t, k, ords), set()
+        for j, p, o in zip(pairs["ord"].to_pylist(), pairs["with_pack"].to_pylist(), pairs["with_ord"].to_pylist()):
+            if j not in good:
+                at = int(np.searchsorted(ords, j))
+                a, b = own.tok[own.at[at] : own.at[at + 1]], others[p, o]
+                both_ = np.sort(np.concatenate([a, b]))
+                if (both_[1:] == both_[:-1]).sum() >= _need(len(a), len(b), threshold):
+                    good.add(j)
+        good = np.array(sorted(good), np.int64)
+        return pa.table({"pack": np.full(len(good), pack), "ord": good}) if len(good) else none
+
+    mixed = pairs.select("pack", "ord", "with_pack", "with_ord").unionByName(sets, allowMissingColumns=True)
+    return each_pack(packs, verify, "pack long, ord long", mixed)
 
 
 def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:

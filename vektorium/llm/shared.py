@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,29 @@ def prepare(spark: SparkSession) -> None:
     sc.setCheckpointDir(place)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; partitioning and order are kept."""
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots as double underscores) that hold inside the block only."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, **more: str) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there.
+
+    What its plan has shuffled is not needed any more then, so those files are removed at once
+    and don't wait for the driver's garbage collection.
+    """
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **more):
+        return df.select("*").checkpoint(eager=True)
 
 
 def cut_dealt(df: DataFrame, n: int, key: str) -> DataFrame:
@@ -37,14 +57,7 @@ def cut_dealt(df: DataFrame, n: int, key: str) -> DataFrame:
 
     The planner forgets how a checkpoint was dealt where adaptive execution made it, so that is off for this one job.
     """
-    prepare(df.sparkSession)
-    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return df.repartition(n, key).sortWithinPartitions(key).checkpoint(eager=True)
-    finally:
-        conf.set(name, before)
+    return cut(df.repartition(n, key).sortWithinPartitions(key), spark__sql__adaptive__enabled="false")
 
 
 def tasks(spark: SparkSession) -> int:
