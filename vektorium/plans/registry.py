@@ -1,11 +1,464 @@
-"""Queries of the engine and their SQL twins."""
+"""Queries of the engine over the tables of a folder, and their SQL twins."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vector
+from ..ingest import embed as E
+from ..ingest import text as T
+from ..operators import evaluate, search, tables
+from ..operators.index import HnswIndex, IvfIndex, IvfPqIndex, pq
+from ..operators.index.kmeans import lloyd, seeds
+from ..sources import files
+
+K, NQ, NLIST, NPROBE, M = 10, 20, 16, 4, 8
+_ALL: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def put(f):
+        _ALL[f.__name__] = (f, sql)
+        return f
+
+    return put
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _base(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").select("vec_id", "embedding")
+
+
+def _queries(spark, d, n: int = NQ) -> DataFrame:
+    return _base(spark, d).where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint place (a local one where none is set and the master is local)."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or None
+    if place is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        place = os.path.join(tempfile.gettempdir(), "checkpoints", "vektorium")
+    return f"{place}/{name}-{uuid.uuid4().hex}"
+
+
+def _rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, F.round(c, digits))
+    return df
+
+
+# ---- pieces of SQL
+
+def _dot(a, b):
+    return f"list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+def _l2(a, b):
+    return f"list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _best(scored: str, k: int, value: str, down: bool) -> str:
+    order = f"{value} {'DESC' if down else 'ASC'}, vec_id"
+    return f"SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, {value} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS r FROM ({scored})) WHERE r <= {k}"
+
+
+def _top(score: str, value: str, down: bool, n: int = NQ, k: int = K) -> str:
+    return _best(f"SELECT q.vec_id AS query_id, e.vec_id, {score} AS {value} FROM embeddings AS q, embeddings AS e WHERE q.vec_id < {n}", k, value, down)
+
+
+_DOT = _dot("q.embedding", "e.embedding")
+_L2 = f"round({_l2('q.embedding', 'e.embedding')}, 9)"
+_TOP_DOT, _TOP_L2 = _top(_DOT, "score", True), _top(_L2, "dist", False)
+_ABS = "list_max(list_transform(embedding, lambda x: abs(x)))"
+_I8 = f"""
+i8s AS (SELECT vec_id, embedding, CASE WHEN {_ABS} > 0 THEN CAST({_ABS} / 127::FLOAT AS FLOAT) ELSE 1::FLOAT END AS scale FROM embeddings),
+i8 AS (SELECT vec_id, scale, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round_even(CAST(CAST(x * CAST(1::FLOAT / scale AS FLOAT) AS FLOAT) AS DOUBLE), 0))) AS TINYINT)) AS codes FROM i8s)"""
+_I8_TOP = _best(f"SELECT q.vec_id AS query_id, i8.vec_id, {_dot('q.embedding', 'i8.codes')} * CAST(i8.scale AS DOUBLE) AS score FROM embeddings AS q, i8 WHERE q.vec_id < {NQ}", "{k}", "score", True)
+
+
+def _kmeans_sql(steps: int = 2) -> str:
+    """CTEs c0..c<steps> of (list_id, c), each one Lloyd step from the one before."""
+    out = [f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS list_id, embedding::DOUBLE[] AS c FROM embeddings ORDER BY vec_id LIMIT {NLIST})"]
+    for s in range(steps):
+        out.append(f"a{s} AS ({_assign_sql(f'c{s}')})")
+        out.append(f"m{s} AS (SELECT list_id, dim, avg(v) AS v FROM (SELECT list_id, generate_subscripts(embedding, 1) AS dim, unnest(embedding::DOUBLE[]) AS v FROM a{s} JOIN embeddings USING (vec_id)) GROUP BY 1, 2)")
+        out.append(f"c{s + 1} AS (SELECT c{s}.list_id, coalesce(n.c, c{s}.c) AS c FROM c{s} LEFT JOIN (SELECT list_id, list(v ORDER BY dim) AS c FROM m{s} GROUP BY 1) AS n ON n.list_id = c{s}.list_id)")
+    return ", ".join(out)
+
+
+def _assign_sql(c: str) -> str:
+    return f"SELECT vec_id, list_id FROM (SELECT e.vec_id, k.list_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_l2('e.embedding', 'k.c')}, k.list_id) AS r FROM embeddings AS e, {c} AS k) WHERE r = 1"
+
+
+def _ivf_sql(nprobe: int) -> str:
+    probes = f"SELECT query_id, list_id FROM (SELECT q.vec_id AS query_id, k.list_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_l2('q.embedding', 'k.c')}, k.list_id) AS r FROM embeddings AS q, c2 AS k WHERE q.vec_id < {NQ}) WHERE r <= {nprobe}"
+    scored = f"SELECT p.query_id, e.vec_id, {_L2} AS dist FROM ({probes}) AS p JOIN lists USING (list_id) JOIN embeddings AS e ON e.vec_id = lists.vec_id JOIN embeddings AS q ON q.vec_id = p.query_id"
+    return f"WITH {_kmeans_sql()}, lists AS ({_assign_sql('c2')}), ivf AS ({_best(scored, K, 'dist', False)})"
+
+
+_WORDS = f"SELECT CAST(vec_id AS INTEGER) AS code, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < {NLIST}"
+_PART = "list_slice({v}, p * {s} + 1, p * {s} + {s})"
+
+
+def _pq_sql(dim: int = 64) -> str:
+    s = dim // M
+    a, b = _PART.format(v="e.embedding::DOUBLE[]", s=s), _PART.format(v="w.w", s=s)
+    q = _PART.format(v="q.embedding::DOUBLE[]", s=s)
+    codes = f"SELECT vec_id, CAST(p AS INTEGER) AS part, code FROM (SELECT e.vec_id, p, code, row_number() OVER (PARTITION BY e.vec_id, p ORDER BY {_l2(a, b)}, code) AS r FROM embeddings AS e, words AS w, generate_series(0, {M - 1}) AS g(p)) WHERE r = 1"
+    table = f"SELECT q.vec_id AS query_id, p AS part, code, {_l2(q, b)} AS d FROM embeddings AS q, words AS w, generate_series(0, {M - 1}) AS g(p) WHERE q.vec_id < {NQ}"
+    scored = "SELECT query_id, vec_id, round(sum(d), 9) AS dist FROM codes JOIN dist_table USING (part, code) GROUP BY 1, 2"
+    return f"WITH words AS ({_WORDS}), codes AS ({codes}), dist_table AS ({table}), adc AS ({scored})"
+
+
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_CUT = """CASE WHEN length(rest) <= 2000 THEN length(rest)
+  WHEN length(regexp_extract(substr(rest, 1201, 800), '(?s)^.*[.!?。！？]')) > 0 THEN 1200 + length(regexp_extract(substr(rest, 1201, 800), '(?s)^.*[.!?。！？]'))
+  WHEN length(regexp_extract(substr(rest, 1, 2000), '(?s)^.*[.!?。！？]')) > 0 THEN length(regexp_extract(substr(rest, 1, 2000), '(?s)^.*[.!?。！？]'))
+  ELSE 2000 END"""
+_CHUNKS = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, 0 AS i, {_STRIP.format("coalesce(text, '')")} AS rest, '' AS chunk FROM documents
+  UNION ALL
+  SELECT doc_id, i + 1, substr(rest, {_CUT} + 1), {_STRIP.format(f"substr(rest, 1, {_CUT})")} FROM r WHERE rest <> ''),
+chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, chunk FROM r WHERE i > 0 AND chunk <> '')"""
+
+
+# ---- exact search
+
+
+@query(_TOP_DOT)
+def exact_topk_dot(spark, d):
+    return search.exact_search(_base(spark, d), _queries(spark, d), K, "dot")
+
+
+@query(_TOP_L2)
+def exact_topk_l2(spark, d):
+    return _rounded(search.exact_search(_base(spark, d), _queries(spark, d), K, "l2"), "dist")
+
+
+@query(_TOP_DOT)
+def exact_topk_numpy(spark, d):
+    return search.exact_search(_base(spark, d), _queries(spark, d), K, "dot", kernel="numpy")
+
+
+@query(_top(_DOT, "score", True, n=1000))
+def batched_topk_dot(spark, d):
+    """All vectors with ids under 1000 as queries, by block products."""
+    return search.exact_search(_base(spark, d), _queries(spark, d, 1000), K, "dot", kernel="numpy")
+
+
+@query(_TOP_L2)
+def tiled_topk_l2(spark, d):
+    """Neither side broadcast: tiles of the base meet blocks of queries."""
+    return _rounded(search.exact_search(_base(spark, d), _queries(spark, d), K, "l2", kernel="numpy", broadcast_bytes=0), "dist")
+
+
+@query(_top(_DOT, "score", True, n=1))
+def single_query_topk(spark, d):
+    return search.search_first_query(_base(spark, d), _queries(spark, d), K)
+
+
+# ---- vector functions and tables
+
+
+@query(f"SELECT vec_id, sqrt({_dot('embedding', 'embedding')}) AS norm FROM embeddings")
+def vector_norms(spark, d):
+    return _base(spark, d).select("vec_id", vector.norm("embedding").alias("norm"))
+
+
+@query(f"SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, sqrt({_dot('embedding', 'embedding')}) AS norm, len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AS finite FROM embeddings")
+def vector_sanity(spark, d):
+    return tables.check_vectors(_base(spark, d))
+
+
+@query(f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, v / n AS value FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS v, sqrt({_dot('embedding', 'embedding')}) AS n FROM embeddings)")
+def normalize_vectors(spark, d):
+    return _base(spark, d).select("vec_id", F.posexplode(vector.normalize("embedding")).alias("dim", "value"))
+
+
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, value FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS value FROM embeddings WHERE vec_id < 3) WHERE i <= 8")
+def dump_preview(spark, d):
+    return tables.preview(_base(spark, d))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id < 100")
+def slice_first_n(spark, d):
+    return tables.slice_first(_base(spark, d), 100).select("vec_id", F.size("embedding").alias("dim"))
+
+
+@query("SELECT vec_id, embedding[1] AS first FROM embeddings WHERE vec_id IN (3, 7, 499)")
+def rows_by_id(spark, d):
+    return tables.row_at(_base(spark, d), [3, 7, 499]).select("vec_id", F.col("embedding")[0].alias("first"))
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY md5('42-' || vec_id), vec_id LIMIT 50")
+def sample_queries_random(spark, d):
+    return tables.sample_random(_base(spark, d), 50, 42).select("vec_id")
+
+
+@query("SELECT t.dtype, count(*) AS rows, CAST(max(len(embedding)) AS BIGINT) AS dim, CAST(count(*) * (max(len(embedding)) * t.b + t.x) AS BIGINT) AS bytes FROM embeddings, (VALUES ('float32', 4, 0), ('float16', 2, 0), ('int8', 1, 4)) AS t(dtype, b, x) GROUP BY t.dtype, t.b, t.x")
+def storage_bytes(spark, d):
+    return tables.storage_bytes(_base(spark, d))
+
+
+@query(f"WITH {_I8} SELECT vec_id, scale, CAST(i - 1 AS INTEGER) AS dim, code FROM (SELECT vec_id, scale, generate_subscripts(codes, 1) AS i, unnest(codes) AS code FROM i8)")
+def quantize_int8(spark, d):
+    return tables.quantize_int8(_base(spark, d)).select("vec_id", "scale", F.posexplode("codes").alias("dim", "code"))
+
+
+@query(f"WITH {_I8} SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(code AS FLOAT) * scale AS value FROM (SELECT vec_id, scale, generate_subscripts(codes, 1) AS i, unnest(codes) AS code FROM i8)")
+def dequantize_int8(spark, d):
+    return tables.dequantize_int8(tables.quantize_int8(_base(spark, d))).select("vec_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+@query(f"WITH {_I8} {_I8_TOP.format(k=K)}")
+def int8_topk_dot(spark, d):
+    return search.exact_search(tables.quantize_int8(_base(spark, d)), _queries(spark, d), K, "dot", "int8")
+
+
+@query(None)
+def f16_convert(spark, d):
+    return tables.from_float16(tables.to_float16(_base(spark, d)))
+
+
+@query(None)
+def f16_topk_dot(spark, d):
+    return search.exact_search(tables.to_float16(_base(spark, d)), _queries(spark, d), K, "dot", "float16", kernel="numpy")
+
+
+# ---- approximate search
+
+
+@query(f"WITH {_kmeans_sql()} SELECT list_id, CAST(i - 1 AS INTEGER) AS dim, round(v, 9) AS value FROM (SELECT list_id, generate_subscripts(c, 1) AS i, unnest(c) AS v FROM c2)")
+def kmeans_centroids(spark, d):
+    c = lloyd(_base(spark, d), NLIST, 2)
+    rows = [(i, c[i].tolist()) for i in range(len(c))]
+    return spark.createDataFrame(rows, "list_id int, c array<double>").select("list_id", F.posexplode("c").alias("dim", "value")).withColumn("value", F.round("value", 9))
+
+
+def _ivf(spark, d) -> IvfIndex:
+    return IvfIndex.build(_base(spark, d), NLIST, None, 2)
+
+
+@query(f"WITH {_kmeans_sql()} {_assign_sql('c2')}")
+def ivf_assign(spark, d):
+    return _ivf(spark, d).lists.select("vec_id", "list_id")
+
+
+@query(f"WITH {_kmeans_sql()}, lists AS ({_assign_sql('c2')}) SELECT list_id, count(*) AS n FROM lists GROUP BY 1")
+def ivf_list_sizes(spark, d):
+    return _ivf(spark, d).list_sizes()
+
+
+@query(_ivf_sql(NPROBE) + " SELECT * FROM ivf")
+def ivf_search(spark, d):
+    return _rounded(_ivf(spark, d).search(_queries(spark, d), K, NPROBE), "dist")
+
+
+@query(_TOP_L2)
+def ivf_search_all_lists(spark, d):
+    return _rounded(_ivf(spark, d).search(_queries(spark, d), K, NLIST), "dist")
+
+
+@query(_ivf_sql(NPROBE) + " SELECT * FROM ivf")
+def ivf_saved_search(spark, d):
+    """Built, written by list, extended and read again: the same results."""
+    path, base = _scratch(spark, "ivf"), _base(spark, d)
+    index = _ivf(spark, d)
+    IvfIndex(index.centroids, index.lists.where("vec_id % 2 = 0")).save(path)
+    IvfIndex.append(path, base.where("vec_id % 2 = 1"))
+    return _rounded(IvfIndex.load(spark, path).search(_queries(spark, d), K, NPROBE), "dist")
+
+
+@query(_best(f"SELECT q.vec_id AS query_id, e.vec_id, {_L2} AS dist FROM embeddings AS q, embeddings AS e WHERE q.vec_id < {NQ} AND (e.vec_id * 7 + q.vec_id) % 5 = 0", K, "dist", False))
+def refine_candidates(spark, d):
+    base, q = _base(spark, d), _queries(spark, d)
+    pairs = base.select("vec_id").crossJoin(F.broadcast(q.select("query_id"))).where("(vec_id * 7 + query_id) % 5 = 0")
+    return _rounded(search.refine(pairs, base, q, K), "dist")
+
+
+@query(f"WITH {_I8}, cand AS ({_I8_TOP.format(k=30)}) " + _best(f"SELECT cand.query_id, cand.vec_id, {_L2} AS dist FROM cand JOIN embeddings AS q ON q.vec_id = cand.query_id JOIN embeddings AS e ON e.vec_id = cand.vec_id", K, "dist", False))
+def int8_refine(spark, d):
+    """30 candidates by int8 codes, ranked again by exact distance."""
+    base, q = _base(spark, d), _queries(spark, d)
+    cand = search.exact_search(tables.quantize_int8(base), q, search.candidate_depth(K, 30), "dot", "int8")
+    return _rounded(search.refine(cand, base, q, K), "dist")
+
+
+def _codebooks(spark, d) -> np.ndarray:
+    """Codewords by a rule that SQL can restate: the parts of the first vectors."""
+    x = seeds(_base(spark, d), NLIST)
+    return np.stack(np.split(x, M, axis=1))
+
+
+@query(_pq_sql() + " SELECT vec_id, part, code FROM codes")
+def pq_encode(spark, d):
+    codes = pq.pq_encode(_base(spark, d), _codebooks(spark, d))
+    return codes.select("vec_id", F.posexplode("codes").alias("part", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+@query(_pq_sql() + " " + _best("SELECT * FROM adc", K, "dist", False))
+def pq_adc_topk(spark, d):
+    books = _codebooks(spark, d)
+    return pq.adc_search(pq.pq_encode(_base(spark, d), books), books, _queries(spark, d), K)
+
+
+@query(_pq_sql() + f", cand AS ({_best('SELECT * FROM adc', 50, 'dist', False)}) " + _best(f"SELECT cand.query_id, cand.vec_id, {_L2} AS dist FROM cand JOIN embeddings AS q ON q.vec_id = cand.query_id JOIN embeddings AS e ON e.vec_id = cand.vec_id", K, "dist", False))
+def pq_refine(spark, d):
+    base, q, books = _base(spark, d), _queries(spark, d), _codebooks(spark, d)
+    cand = pq.adc_search(pq.pq_encode(base, books), books, q, search.candidate_depth(K, 50))
+    return _rounded(search.refine(cand, base, q, K), "dist")
+
+
+@query(None)
+def ivfpq_search(spark, d):
+    return IvfPqIndex.build(_base(spark, d), NLIST, M, 4).search(_queries(spark, d), K, NPROBE)
+
+
+@query(None)
+def opq_search(spark, d):
+    base = _base(spark, d)
+    return IvfPqIndex.build(base, NLIST, M, 4, rotate=True, rounds=5).search(_queries(spark, d), K, NPROBE, 50, base)
+
+
+@query(None)
+def hnsw_search(spark, d):
+    return HnswIndex.build(_base(spark, d), 8, 64).search(_queries(spark, d), K, 32)
+
+
+# ---- ground truth, recall, statistics
+
+
+@query(_TOP_DOT)
+def ground_truth(spark, d):
+    return evaluate.build_ground_truth(_base(spark, d), _queries(spark, d), K)
+
+
+@query(f"WITH {_I8}, got AS ({_I8_TOP.format(k=K)}), truth AS ({_TOP_DOT}) SELECT truth.query_id, count(got.vec_id) AS hits, count(got.vec_id) / {K} AS recall FROM truth LEFT JOIN got USING (query_id, vec_id) GROUP BY 1")
+def recall_int8(spark, d):
+    base, q = _base(spark, d), _queries(spark, d)
+    got = search.exact_search(tables.quantize_int8(base), q, K, "dot", "int8")
+    return evaluate.recall_at_k(got, evaluate.build_ground_truth(base, q, K), K)
+
+
+@query(_ivf_sql(NPROBE) + f", truth AS ({_TOP_L2}) SELECT count(*) AS queries, round(avg(r), 9) AS recall FROM (SELECT truth.query_id, count(ivf.vec_id) / {K} AS r FROM truth LEFT JOIN ivf USING (query_id, vec_id) GROUP BY 1)")
+def recall_ivf(spark, d):
+    base, q = _base(spark, d), _queries(spark, d)
+    truth = evaluate.build_ground_truth(base, q, K, "l2")
+    return _rounded(evaluate.mean_recall(_ivf(spark, d).search(q, K, NPROBE), truth, K), "recall")
+
+
+_STATS = "count(value) AS n, round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(1000 / avg(value), 6) AS qps"
+
+
+@query(f"SELECT {_STATS} FROM events")
+def latency_stats(spark, d):
+    return _rounded(evaluate.latency_stats(_table(spark, d, "events"), "value"), "avg_ms", "p50_ms", "p95_ms", "p99_ms", "qps", digits=6)
+
+
+@query(f"SELECT {_STATS}, round(sum(value), 4) AS total_ms, CAST(128000 AS BIGINT) AS bytes_per_query, round(128000 * 1e-6 / avg(value), 9) AS gb_per_s FROM events")
+def bench_stats(spark, d):
+    out = _rounded(evaluate.bench_stats(_table(spark, d, "events"), 128_000, "value"), "avg_ms", "p50_ms", "p95_ms", "p99_ms", "qps", digits=6)
+    return _rounded(_rounded(out, "total_ms", digits=4), "gb_per_s")
+
+
+@query("SELECT event_id, round(value + 250.0 / count(*) OVER (), 9) AS total_ms FROM events")
+def staged_total(spark, d):
+    return _rounded(evaluate.staged_total(_table(spark, d, "events").select("event_id", "value"), 250.0, "value").select("event_id", "total_ms"), "total_ms")
+
+
+@query("SELECT 'RESULT events=' || count(*) || ' users=' || count(DISTINCT user_id) AS line FROM events")
+def result_line(spark, d):
+    e = _table(spark, d, "events")
+    return evaluate.result_line(e.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users")))
+
+
+# ---- documents
+
+
+@query("SELECT doc_id, chars FROM (SELECT doc_id, length(coalesce(text, '')) AS chars FROM documents)")
+def choose_text(spark, d):
+    docs = _table(spark, d, "documents").withColumn("full_text", F.lit("  ")).withColumn("abstract", F.lit("short"))
+    return docs.select("doc_id", F.length(T.choose_text(docs, prefer_full=True)).cast("long").alias("chars"))
+
+
+@query(f"SELECT item_id, regexp_replace(lower({_STRIP.format('text')}), '[\\s\\-_:]+', ' ', 'g') AS heading FROM benchmark")
+def heading_normalize(spark, d):
+    return _table(spark, d, "benchmark").select("item_id", T.normalize_heading(F.col("text")).alias("heading"))
+
+
+@query(None)
+def split_sections(spark, d):
+    """The documents with headings put between their lines."""
+    docs = _table(spark, d, "documents")
+    text = F.concat(F.lit("front\n1 Introduction\n"), F.coalesce("text", F.lit("")), F.lit("\nIV. Results\n"), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.posexplode(T.split_sections(text)).alias("n", "s")).select("doc_id", "n", "s.section", F.length("s.text").alias("chars"))
+
+
+@query(_CHUNKS + " SELECT doc_id, chunk_index, chunk FROM chunks")
+def chunk_documents(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(T.chunk(F.coalesce("text", F.lit("")))).alias("chunk_index", "chunk"))
+
+
+@query("SELECT item_id, 'item-' || item_id || chr(10) || '[SECTION: body]' || chr(10) || text AS embed_text FROM (SELECT item_id, " + _STRIP.format("text") + " AS text FROM benchmark)")
+def embed_template(spark, d):
+    b = _table(spark, d, "benchmark")
+    return b.select("item_id", T.embed_template(F.concat(F.lit("item-"), F.col("item_id")), F.lit("body"), F.col("text")).alias("embed_text"))
+
+
+@query(_CHUNKS + ", n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx FROM documents) SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS row, doc_idx, doc_id::VARCHAR AS id, chunk_index, sha256('doc-' || doc_id || chr(10) || '[SECTION: abstract]' || chr(10) || chunk) AS embed_sha256 FROM chunks JOIN n USING (doc_id)")
+def chunk_numbering(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("title"), F.col("text").alias("abstract"))
+    return E.chunked(docs).select("row", "doc_idx", "id", "chunk_index", F.sha2("embed_text", 256).alias("embed_sha256"))
+
+
+_EMBED = """SELECT {id} AS id, b, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {id})) AS FLOAT) AS DOUBLE) AS v FROM (SELECT {id}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT {id}, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM {t}) GROUP BY 1, 2)"""
+
+
+@query(f"WITH q AS ({_EMBED.format(id='item_id', t='benchmark')}), e AS ({_EMBED.format(id='doc_id', t='documents')}) " + _best("SELECT q.id AS query_id, e.id AS vec_id, round(sum(q.v * e.v), 5) AS score FROM q JOIN e USING (b) GROUP BY 1, 2", K, "score", True))
+def hash_embed_topk(spark, d):
+    """Texts of benchmark against all documents; scores are rounded before they are ranked."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), E.embed(F.col("text")).alias("embedding"))
+    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), E.embed(F.col("text")).alias("q"))
+    scored = docs.crossJoin(F.broadcast(items.limit(10_000)))
+    return search.best(scored.select("query_id", "vec_id", F.round(vector.dot("q", "embedding"), 5).alias("score")), K, "dot")
+
+
+@query(None)
+def file_roundtrip(spark, d):
+    """Written as binary files of each type and read again: rows with their largest error."""
+    base = _base(spark, d)
+    place = _scratch(spark, "files").removeprefix("file:")
+    os.makedirs("/" + place.lstrip("/"))
+    out = None
+    for dtype in ("float32", "float16", "int8"):
+        path = f"/{place.lstrip('/')}/{dtype}"
+        files.write_vectors(tables.quantize_int8(base) if dtype == "int8" else base, path, dtype=dtype)
+        back = files.read_vectors(spark, path)
+        back = tables.dequantize_int8(back) if dtype == "int8" else back.select("vec_id", "embedding")
+        err = base.join(back.withColumnRenamed("embedding", "back"), "vec_id").select(F.lit(dtype).alias("dtype"), "vec_id", F.sqrt(vector.l2_squared("embedding", "back")).alias("error"))
+        out = err if out is None else out.unionByName(err)
+    return out
