@@ -47,11 +47,11 @@ _LINE[10] = True
 _COLS = [("tok", np.uint64), ("ord", np.uint32), ("doc", np.int64), ("len", np.uint32), ("pos", np.uint32), ("parity", np.uint64), ("v1", np.uint64), ("w2", np.uint64), ("w3", np.uint64), ("sig", np.uint32), ("flag", np.uint8)]
 _POSTED = "bucket long, pack long, n long, " + ", ".join(f"{c} binary" for c, _ in _COLS)
 _POSTED_ARROW = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c, _ in _COLS])
-_FOUND = "pack long, ord long, with_pack long, with_ord long, more int"
-_FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64()), ("more", pa.int32())])
+_FOUND = "pack long, ord long, with_pack long, with_ord long"
+_FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64())])
 _SETS = "pack long, from_pack long, ords binary, lens binary, toks binary"
 _SETS_ARROW = pa.schema([("pack", pa.int64()), ("from_pack", pa.int64()), ("ords", pa.binary()), ("lens", pa.binary()), ("toks", pa.binary())])
-NEAREST = 2
+NEAREST = 4
 WIDE = (80, 180)
 _WIDER = {"v1": WIDE[0], "w2": WIDE[1], "w3": WIDE[1]}
 
@@ -171,30 +171,37 @@ def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: n
 
 
 def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
-    """One bucket's posting lists: copies (with_pack -1) and candidates. complete: all candidates of flagged lines."""
+    """One bucket's posting lists: copies (with_pack -1), candidates, and words under which a line has candidates
+    that were not sent (with_pack -2, the word as with_ord). complete: all candidates of flagged lines."""
     if t["bucket"][0].as_py() < 0:
         o = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in t["ord"]]).astype(np.int64)
         none = np.full(len(o), -1)
-        return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none, np.zeros(len(o), np.int32)], schema=_FOUND_ARROW)
+        return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none], schema=_FOUND_ARROW)
     packs = np.repeat(t["pack"].to_numpy(), t["n"].to_numpy())
     c = {name: np.concatenate([unsqueeze(x.as_py(), kind) for x in t[name]]) for name, kind in _COLS}
     for name, wide in _WIDER.items():
         full = np.zeros(len(packs), np.uint64)
         full[c["len"] > wide] = c[name]
         c[name] = full
-    order = np.lexsort((c["ord"], packs, c["doc"], c["sig"], c["parity"], c["len"], c["tok"]))
+    # lines in their order (id, pack, place), as numbers; then equal sets under one word
+    order = np.lexsort((c["ord"], packs, c["doc"]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    same_line = np.zeros(len(order), bool)
+    same_line[1:] = (packs[order][1:] == packs[order][:-1]) & (c["ord"][order][1:] == c["ord"][order][:-1])
+    rank = (np.cumsum(~same_line) - 1)[rank]
+    set_ = mix(mix(c["tok"] << np.uint64(24) ^ c["len"]) ^ mix(c["parity"] ^ c["sig"].astype(np.uint64) << np.uint64(32)))
+    order = order[np.argsort(set_[order], kind="stable")]
     same = np.zeros(len(order), bool)
-    for name in ("tok", "len", "parity", "sig"):
-        v = c[name][order]
-        same[1:] = (v[1:] == v[:-1]) if name == "tok" else same[1:] & (v[1:] == v[:-1])
+    same[1:] = set_[order][1:] == set_[order][:-1]
     copies = order[same]
     if not complete:  # equal sets meet at their first posted word; say it there only
         copies = copies[c["flag"][copies] > 0]
     copies = packs[copies], c["ord"][copies].astype(np.int64)
     left = order[~same]
-    left = left[np.lexsort((c["ord"][left], packs[left], c["doc"][left], c["tok"][left]))]
+    left = left[np.lexsort((rank[left], c["tok"][left]))]
     c = {name: v[left] for name, v in c.items()}
-    packs = packs[left]
+    packs, rank = packs[left], rank[left]
     tok, n, pos = c["tok"], c["len"].astype(np.int64), c["pos"].astype(np.int64)
     ends = np.searchsorted(tok, tok, "right")
     best, nearest = np.full((len(left), NEAREST), -1), np.full((len(left), NEAREST), 1 << 30)
@@ -232,13 +239,15 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
     else:
         j, slot = np.nonzero(best >= 0)
         i = best[j, slot]
+    out = [packs[j], c["ord"][j].astype(np.int64), packs[i], c["ord"][i].astype(np.int64)]
+    _, one = np.unique(rank[j] << 32 | rank[i], return_index=True)  # a pair that met at several words
+    out = [x[one] for x in out]
     if complete:
-        copies = copies[0][:0], copies[1][:0]
+        return pa.table(out, schema=_FOUND_ARROW)
+    short = np.flatnonzero(many > NEAREST)  # lines with further candidates under a word, and the word
+    more = [packs[short], c["ord"][short].astype(np.int64), np.full(len(short), -2), tok[short].astype(np.int64)]
     none = np.full(len(copies[0]), -1)
-    out = [packs[j], c["ord"][j].astype(np.int64), packs[i], c["ord"][i].astype(np.int64), (many[j] > NEAREST).astype(np.int32)]
-    _, one = np.unique(np.stack(out[:4]), axis=1, return_index=True)  # a pair that met at several words
-    more = [none, none, np.zeros(len(none), np.int32)]
-    return pa.table([np.concatenate([x[one], y]) for x, y in zip(out, [*copies, *more])], schema=_FOUND_ARROW)
+    return pa.table([*(np.concatenate(x) for x in zip(out, [*copies, none, none], more))], schema=_FOUND_ARROW)
 
 
 def _sets(t: pa.Table, k: int, ords: np.ndarray) -> _Lines:
@@ -315,28 +324,15 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
         return _postings(pack, lines, ids, total, u, buckets, threshold, None, None)
 
     found = each_pack(packs, post, _POSTED, totals).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, False), _FOUND)
-    found = cut(found.groupBy("pack", "ord", "with_pack", "with_ord").agg(F.max("more").alias("more")))
+    found = cut(found.distinct())
     sure = found.where("with_pack = -1").select("pack", "ord")
     pairs = found.where("with_pack >= 0").join(sure, ["pack", "ord"], "left_anti")
     first = cut(_verified(packs, pairs, k, threshold))
     gone = sure.unionByName(first)
-    unsure = cut(pairs.groupBy("pack", "ord").agg(F.max("more").alias("more")).where("more > 0").select("pack", "ord").join(first, ["pack", "ord"], "left_anti"))
-    if unsure.head(1):  # the complete round, for lines whose nearest candidates failed
+    unsure = cut(found.where("with_pack = -2").join(gone, ["pack", "ord"], "left_anti").select("pack", "ord", F.col("with_ord").alias("word")))
+    if unsure.head(1):  # the complete round, for lines whose nearest candidates failed, under the words that had more
         size = 1 << 20
-
-        def prefix_words(pack, t, both):
-            lines, ids, u, total = common(t, both.filter(pc.is_valid(both["kind"])).select(["pack", "bucket", "kind", "n", "hit", "totals"]))
-            open_ = both.filter(pc.is_null(both["kind"]))["ord"].to_numpy()
-            rows = _postings(pack, lines, ids, total, u, 1, threshold, open_, None)
-            bits = np.zeros(size, bool)
-            for r in rows.filter(pc.greater_equal(rows["bucket"], 0)).to_pylist():
-                w = unsqueeze(r["tok"], np.uint64)[unsqueeze(r["flag"], np.uint8) > 0]
-                bits[(w & np.uint64(size - 1)).astype(np.int64)] = True
-            at = np.flatnonzero(bits)
-            return pa.table({"word": pa.array(at, pa.int64())})
-
-        mixed = totals.unionByName(unsure.select("pack", "ord"), allowMissingColumns=True)
-        words = [r[0] for r in each_pack(packs, prefix_words, "word long", mixed).distinct().collect()]  # at most 2**20 numbers
+        words = [r[0] for r in unsure.select(F.col("word").bitwiseAND(size - 1)).distinct().collect()]  # at most 2**20 numbers
         bitmap = np.zeros(size, bool)
         bitmap[words] = True
         sent = packs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
@@ -346,8 +342,9 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
             open_ = both.filter(pc.is_null(both["kind"]))["ord"].to_numpy()
             return _postings(pack, lines, ids, total, u, buckets, threshold, open_, np.unpackbits(sent.value).astype(bool))
 
+        mixed = totals.unionByName(unsure.select("pack", "ord").distinct(), allowMissingColumns=True)
         more = each_pack(packs, again, _POSTED, mixed).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, True), _FOUND)
-        more = cut(more.drop("more").distinct().join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
+        more = cut(more.distinct().join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
         gone = gone.unionByName(_verified(packs, more, k, threshold))
     return gone.distinct()
 
