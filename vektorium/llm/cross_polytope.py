@@ -51,10 +51,12 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
 
 def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """(n, tables, probes) bucket codes of unit vectors; the first probe is the vector's own bucket."""
-    width = 1 << max(1, (x.shape[1] - 1).bit_length())
+    if not 1 <= probes <= 16:
+        raise ValueError("1 to 16 probes")
+    width = 1 << max(2, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
     out = np.empty((len(x), tables, probes), np.int64)
-    near = min(4, width)
+    near = 4
     for t in range(tables):
         ids, loss = [], []
         for half in range(2):

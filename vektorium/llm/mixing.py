@@ -84,7 +84,8 @@ def mixed(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tup
     chosen = _planned(cut(sizes(docs)), share, epochs, weights, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("n"))
     both = docs.alias("d").join(chosen.alias("c"), F.expr("cast(d.doc_id as bigint) <=> c.doc_id"))
     kept = [F.col(f"d.`{c}`") for c in docs.columns]
-    return both.select(*kept, F.explode(F.sequence(F.lit(1), F.col("c.n"))).alias("copy of the mix")).drop("copy of the mix")
+    extra = "copy" + "_" * max(map(len, docs.columns))  # longer than any name of docs
+    return both.select(*kept, F.explode(F.sequence(F.lit(1), F.col("c.n"))).alias(extra)).drop(extra)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
