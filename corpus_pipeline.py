@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektorium.llm import bpe, langid, line_dedup, mixing, shared, simhash
+from vektorium.llm import bpe, langid, line_dedup, mixing, shared, simhash_jaccard
 
 ORACLE_SQL = None
 
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays; like all stages on word shingles it takes five words."""
-    return simhash.representatives(docs, words=5)
+    """One document of each component stays; SimHash finds pairs, which must have Jaccard 0.8 or more of five-word shingles."""
+    return simhash_jaccard.representatives(docs, words=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
