@@ -54,11 +54,11 @@ def _grams(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Score every row of docs(doc_id, text) under the counts of docs itself; columns as in RESULT.
 
-    ``n_full`` counts the words found at the longest order they could have. min_count >= 2:
-    singletons never travel back to the documents.
+    ``n_full`` counts the words found at the longest order they could have. Singletons never travel
+    back to the documents: what is not answered occurs once, so min_count=1 scores under all counts.
     """
-    if order < 1 or min_count < 2 or not 0 < alpha <= 1:
-        raise ValueError("order >= 1, min_count >= 2 and 0 < alpha <= 1")
+    if order < 1 or min_count < 1 or not 0 < alpha <= 1:
+        raise ValueError("order >= 1, min_count >= 1 and 0 < alpha <= 1")
     packs = make_packs(docs.select(F.col("doc_id").cast("long"), "text"), pack_bytes)
     buckets = buckets_for(packs)
     shift = 64 - min(64, max(50, 20 + (buckets * pack_bytes).bit_length()))
