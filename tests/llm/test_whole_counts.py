@@ -3,8 +3,12 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from tests.llm import data
-from vektorium.llm import lm_score
+from vektorium.llm import kernels, lm_score
 
 
 def whole_scores(rows, order=3):
@@ -23,3 +27,22 @@ def whole_scores(rows, order=3):
 def test_singletons_are_counted(spark):
     got = lm_score.stupid_backoff(data.docs(spark), min_count=1, pack_bytes=1 << 16).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_full"], round(r["score"], 4)) for r in got), key=repr) == whole_scores([r[:2] for r in data.rows()])
+
+
+def test_whole_hashes_are_sent(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def catch(packs, fn, *_):
+        catch.fn = fn
+        raise Stop
+
+    monkeypatch.setattr(lm_score, "each_pack", catch)
+    with pytest.raises(Stop):
+        lm_score.stupid_backoff(data.docs(spark))
+    t = pa.table({"c0": [1], "c1": ["a b c a b d e"]})
+    h, before, _ = lm_score._ordered(t)
+    for n in (1, 2, 3):
+        rows = [r for r in catch.fn(0, t, None).to_pylist() if r["kind"] == n]
+        sent = np.sort(np.concatenate([np.cumsum(kernels.unsqueeze(r["hashes"], np.uint64), dtype=np.uint64) for r in rows]))
+        assert sent.tolist() == np.unique(lm_score._grams(h, before, n)[1]).tolist()

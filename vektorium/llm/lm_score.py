@@ -14,9 +14,7 @@ logarithms.
 
 Defined cases: null, empty or blank texts have 0 words and score 0 (``mean_score`` null);
 rows that repeat are counted and scored each time; an empty table gives no rows; further
-columns are dropped from the result. n-grams are compared by hashes of 20 bits more than the
-table's size in bytes has (50 to 64), so the chance that one meets another's is below 1 in 10**6
-at any size.
+columns are dropped from the result. n-grams are compared by hashes of 64 bits, not word by word.
 """
 
 from __future__ import annotations
@@ -61,17 +59,13 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         raise ValueError("order >= 1, min_count >= 1 and 0 < alpha <= 1")
     packs = make_packs(docs.select(F.col("doc_id").cast("long"), "text"), pack_bytes)
     buckets = buckets_for(packs)
-    shift = 64 - min(64, max(50, 20 + (buckets * pack_bytes).bit_length()))
-
-    def cut_off(g: np.ndarray) -> np.ndarray:
-        return g >> np.uint64(shift) << np.uint64(shift)
 
     def count(pack, t, _):
         h, before, _ = _ordered(t)
         rows = []
         for n in range(1, order + 1):
-            u, c = np.unique(cut_off(_grams(h, before, n)[1]), return_counts=True)
-            rows += ask(pack, n, u, c, buckets, shift)
+            u, c = np.unique(_grams(h, before, n)[1], return_counts=True)
+            rows += ask(pack, n, u, c, buckets)
         return asked(rows)
 
     def totals(pack, t, _):
@@ -86,7 +80,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         total = np.zeros((order + 1, len(h)), np.int64)
         for n in range(1, order + 1):
             at, g = _grams(h, before, n)
-            u, back = np.unique(cut_off(g), return_inverse=True)
+            u, back = np.unique(g, return_inverse=True)
             total[n, at] = told(replies, n, u, buckets)[back]
         longest = np.minimum(before + 1, order)
         value, found = np.log(np.maximum(total[1], 1) / max(words, 1)), np.ones(len(h), np.int64)
