@@ -440,10 +440,11 @@ _EMBED = """SELECT {id} AS id, b, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION
 
 @query(f"WITH q AS ({_EMBED.format(id='item_id', t='benchmark')}), e AS ({_EMBED.format(id='doc_id', t='documents')}) " + _best("SELECT q.id AS query_id, e.id AS vec_id, round(sum(q.v * e.v), 5) AS score FROM q JOIN e USING (b) GROUP BY 1, 2", K, "score", True))
 def hash_embed_topk(spark, d):
-    """Texts of benchmark against all documents; scores are rounded before they are ranked."""
+    """All texts of benchmark against all documents; scores are rounded before they are ranked. Texts are broadcast only if they are few."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), E.embed(F.col("text")).alias("embedding"))
     items = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), E.embed(F.col("text")).alias("q"))
-    scored = docs.crossJoin(F.broadcast(items.limit(10_000)))
+    small = items.count() * E.DIM * 8 <= search.BROADCAST_BYTES
+    scored = docs.crossJoin(F.broadcast(items) if small else items)
     return search.best(scored.select("query_id", "vec_id", F.round(vector.dot("q", "embedding"), 5).alias("score")), K, "dot")
 
 
