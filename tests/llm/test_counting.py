@@ -4,11 +4,13 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests import oracle
 from tests.llm import data
-from vektorium.llm import line_dedup, lm_score, queries, substring_dedup
+from vektorium.llm import line_dedup, lm_score, packs, queries, substring_dedup
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -17,7 +19,7 @@ def test_equals_sql(spark, sf_dir, name):
     assert got[1] and oracle.mismatch(got, oracle.sql_rows(oracle.connect(sf_dir), queries.oracle_sql()[name])) == ""
 
 
-def brute_scores(rows, order=3, alpha=0.4):
+def brute_scores(rows, least, order=3, alpha=0.4):
     texts = [data.words(t) for _, t in rows]
     c = Counter(tuple(w[i - n + 1 : i + 1]) for w in texts for n in range(1, order + 1) for i in range(n - 1, len(w)))
     total, out = sum(len(w) for w in texts), []
@@ -25,16 +27,17 @@ def brute_scores(rows, order=3, alpha=0.4):
         s = 0.0
         for i in range(len(w)):
             top = min(order, i + 1)
-            n = next((n for n in range(top, 1, -1) if c[tuple(w[i - n + 1 : i + 1])] > 1), 1)
+            n = next((n for n in range(top, 1, -1) if c[tuple(w[i - n + 1 : i + 1])] >= least), 1)
             s += (top - n) * math.log(alpha) + math.log(c[tuple(w[i - n + 1 : i + 1])] / (c[tuple(w[i - n + 1 : i])] if n > 1 else total))
-        out.append((ident, len(w), round(s, 4)))
+        shared = sum(c[tuple(w[max(0, i - order + 1) : i + 1])] > 1 for i in range(len(w)))
+        out.append((ident, len(w), shared, round(s, 4)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("pack", [1 << 23, 1 << 16])
-def test_scores(spark, pack):
-    got = lm_score.stupid_backoff(data.docs(spark), pack_bytes=pack).collect()
-    assert sorted(((r["doc_id"], r["n_words"], round(r["score"], 4)) for r in got), key=repr) == brute_scores([r[:2] for r in data.rows()])
+@pytest.mark.parametrize("pack,least", [(1 << 23, 1), (1 << 16, 1), (1 << 16, 2), (1 << 16, 3)])
+def test_scores(spark, pack, least):
+    got = lm_score.stupid_backoff(data.docs(spark), min_count=least, pack_bytes=pack).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_elsewhere"], round(r["score"], 4)) for r in got), key=repr) == brute_scores([r[:2] for r in data.rows()], least)
     assert all((r["mean_score"] is None) == (r["n_words"] == 0) for r in got)
 
 
@@ -99,6 +102,58 @@ def test_lines_with_edges(spark):
     assert [r[2] for r in data.kept(line_dedup.digests(long), "doc_id", "n_lines", "n_removed")] == [0, 1, 0]
 
 
+@pytest.mark.parametrize("bits", [1, 2])
+def test_more_packs_than_ranges(spark, sf_dir, bits, monkeypatch):
+    """The exchange in several levels gives what one level gives."""
+    monkeypatch.setattr(packs, "BITS", bits)
+    df = data.real(spark, sf_dir)
+    rows = [(r["doc_id"], r["text"]) for r in df.orderBy("doc_id").collect()]
+    got = lm_score.stupid_backoff(df, pack_bytes=1 << 15).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_elsewhere"], round(r["score"], 4)) for r in got), key=repr) == brute_scores(rows, 1)
+    gone = substring_dedup.removed_words(df.select("doc_id", "text"), 35, 1 << 15, substring_dedup._digest, substring_dedup.RESULT)
+    assert data.kept(gone, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows, 35)
+    made = packs.make_packs(df.select("doc_id", "text"), 1 << 15)
+    assert made.count() > 1 << bits + 1
+    lines = line_dedup.removed_lines(made, 1, bits=bits).count()
+    assert lines == sum(r[2] for r in brute_lines(rows))
+
+
+def test_rows_of_the_exchange_grow_with_packs(spark, sf_dir):
+    df = data.real(spark, sf_dir).select("doc_id", "text")
+    for size in (1 << 18, 1 << 15):
+        made = packs.make_packs(df, size)
+        shape = packs.shape_for(made)
+        n = made.count()
+
+        def count(pack, t, _, shape=shape):
+            u, c = np.unique(lm_score._ordered(t)[0], return_counts=True)
+            return packs.asked(packs.ask(pack, 0, u, c, shape))
+
+        assert packs.each_pack(made, count, packs.ASKED).count() <= n << packs.BITS
+
+
+def test_ids_are_dealt_evenly(spark):
+    x = np.array([0, 1, -1, 1 << 40, -(1 << 62), 123456789], np.int64)
+    df = spark.createDataFrame([(int(v),) for v in x], "v long")
+    assert [r[0] for r in df.selectExpr("hash(v)").collect()] == packs.murmur(x).tolist()
+    ids = [packs.even_id(k, k % 7, 7) for k in range(70)]
+    parts = spark.createDataFrame([(v,) for v in ids], "v long").repartition(7, "v").selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(set(ids)) == 70 and sorted(r["count"] for r in parts) == [10] * 7
+
+
+def test_very_many_lines(monkeypatch):
+    """Line numbers of any size stay apart from the words beside them."""
+    t = pa.table({"c0": [1, 2], "c1": ["a b c\nd e\n\na", "b a b\nx"]})
+    want = line_dedup._Lines(t, 1)
+    monkeypatch.setattr(line_dedup, "_MOST_LINES", 2)
+    got = line_dedup._Lines(t, 1)
+    for name in ("line", "tok", "len", "sum", "at"):
+        assert getattr(want, name).tolist() == getattr(got, name).tolist()
+    big = 1 << 24
+    line, tok = line_dedup._sorted_pairs(np.array([big, 0, big]), np.array([5, 7, 3], np.uint64), big + 1)
+    assert line.tolist() == [0, big, big] and tok.tolist() == [7, 3, 5]
+
+
 def test_empty_tables(spark):
     assert lm_score.stupid_backoff(data.empty(spark)).count() == 0
     assert substring_dedup.dedup(data.empty(spark)).count() == 0

@@ -11,7 +11,7 @@ does not matter. Blank lines have no tokens and stay.
 3. Posting lists drop pairs by length, by the place of the common word, and by parity bits of
    the token sets (their differing bits bound the symmetric difference from below): 64 bits,
    128 for lines of more than ``WIDE[0]`` words and 256 for more than ``WIDE[1]``.
-4. Lines of equal token sets are collapsed, inside a pack and again inside posting lists. From
+4. Equal lines (64-bit sums of their word hashes) are collapsed, inside a pack and again inside posting lists. From
    each list a line sends on its ``NEAREST`` candidates by parity bits, so rows grow with lines
    and not with pairs. Candidates are verified on the whole token sets: the pack of the earlier
    line sends the sets that a pack asks for, each once.
@@ -19,7 +19,7 @@ does not matter. Blank lines have no tokens and stay.
    through a second, complete round: only words of their prefixes are posted again, and all
    their candidates are verified.
 
-Words are compared by 40-bit hashes within pairs of lines. Defined cases: null and empty texts
+Words are compared by 40-bit hashes within pairs of lines, equal lines by 64-bit sums of whole hashes. Defined cases: null and empty texts
 have one empty line and stay; equal lines of one text count, the first stays; rows with the same
 doc_id are ordered by where they lie in the table; an empty table gives no rows; further columns
 pass through ``dedup`` unchanged, whatever their names.
@@ -36,17 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, column_bytes, distinct, mix, run_hashes, runs, squeeze, unsqueeze
-from .packs import ASKED, PACK_BYTES, answer, ask, asked, buckets_for, each_pack, make_packs, told
+from .packs import ASKED, BITS, PACK_BYTES, Shape, answer, ask, asked, cuts_of, each_pack, make_packs, shape_for, told
 from .shared import cut, table
 
 THRESHOLD = 0.8
 _TOKEN = 40
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
+_MOST_LINES = 1 << (64 - _TOKEN)  # of which a line's number and a word fit into 64 bits
 # of each posting; v1 is there for lines of more than WIDE[0] words, w2 and w3 for more than WIDE[1]
-_COLS = [("tok", np.uint64), ("ord", np.uint32), ("doc", np.int64), ("len", np.uint32), ("pos", np.uint32), ("parity", np.uint64), ("v1", np.uint64), ("w2", np.uint64), ("w3", np.uint64), ("sig", np.uint32), ("flag", np.uint8)]
-_POSTED = "bucket long, pack long, n long, " + ", ".join(f"{c} binary" for c, _ in _COLS)
-_POSTED_ARROW = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c, _ in _COLS])
+_COLS = [("tok", np.uint64), ("ord", np.uint32), ("doc", np.int64), ("len", np.uint32), ("pos", np.uint32), ("parity", np.uint64), ("v1", np.uint64), ("w2", np.uint64), ("w3", np.uint64), ("sig", np.uint64), ("flag", np.uint8)]
+_POSTED = "bucket long, part long, pack long, n long, packs binary, " + ", ".join(f"{c} binary" for c, _ in _COLS)
+_POSTED_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("pack", pa.int64()), ("n", pa.int64()), ("packs", pa.binary())] + [(c, pa.binary()) for c, _ in _COLS])
 _FOUND = "pack long, ord long, with_pack long, with_ord long"
 _FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64())])
 _SETS = "pack long, from_pack long, ords binary, lens binary, toks binary"
@@ -56,6 +57,15 @@ WIDE = (80, 180)
 _WIDER = {"v1": WIDE[0], "w2": WIDE[1], "w3": WIDE[1]}
 
 
+def _sorted_pairs(line: np.ndarray, x: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, x) in order, x below 2**40; one sort of 64-bit numbers, or two keys where there are very many lines."""
+    if total <= _MOST_LINES:
+        both = np.sort(line.astype(np.uint64) << np.uint64(_TOKEN) | x.astype(np.uint64))
+        return (both >> np.uint64(_TOKEN)).astype(np.int64), both & np.uint64((1 << _TOKEN) - 1)
+    order = np.lexsort((x, line))
+    return line[order], x[order].astype(np.uint64)
+
+
 class _Lines:
     """Lines of one pack and their token sets; column k of the packed rows is the text, column 0 the id."""
 
@@ -78,11 +88,18 @@ class _Lines:
         self.row = np.repeat(np.arange(t.num_rows), per_row)
         if tokens:
             starts, ends, _ = runs(data, offs, SPACE)
-            h = run_hashes(data, starts, ends) >> np.uint64(64 - _TOKEN)
-            line = np.repeat(np.arange(total), np.diff(np.append(np.searchsorted(starts, self.starts), len(starts))))
-            both = distinct(line.astype(np.uint64) << np.uint64(_TOKEN) | h)
-            self.tok = both & np.uint64((1 << _TOKEN) - 1)
-            self.line = (both >> np.uint64(_TOKEN)).astype(np.int64)
+            h = run_hashes(data, starts, ends)
+            words = np.diff(np.append(np.searchsorted(starts, self.starts), len(starts)))
+            line = np.repeat(np.arange(total), words)
+            # words with repeats: equal lines have equal sums
+            self.sum = np.zeros(total, np.uint64)
+            if len(h):
+                some = np.flatnonzero(words)
+                self.sum[some] = np.add.reduceat(mix(h + np.uint64(1)), (np.cumsum(words) - words)[some])
+            self.line, self.tok = _sorted_pairs(line, h >> np.uint64(64 - _TOKEN), total)
+            keep = np.ones(len(self.tok), bool)
+            keep[1:] = (self.tok[1:] != self.tok[:-1]) | (self.line[1:] != self.line[:-1])
+            self.line, self.tok = self.line[keep], self.tok[keep]
             self.len = np.bincount(self.line, minlength=total)
             self.at = np.concatenate([[0], np.cumsum(self.len)])
 
@@ -93,16 +110,15 @@ def _need(a, b, threshold: float):
 
 
 def _identity(lines: _Lines) -> dict[str, np.ndarray]:
-    """Parities of each token set and a signature. Of 256 parity bits w0 to w3, v0 and v1 are the 128 got by
+    """Parities of each token set, and the 64-bit sum of the line's word hashes as a signature. Of 256 parity bits w0 to w3, v0 and v1 are the 128 got by
     folding once and ``parity`` the 64 got by folding twice; parity, v1, w2 and w3 hold all of them."""
     some = np.flatnonzero(lines.len)
-    out = {c: np.zeros(len(lines.len), np.uint64) for c in ("parity", "v1", "w2", "w3")} | {"sig": np.zeros(len(lines.len), np.uint32)}
+    out = {c: np.zeros(len(lines.len), np.uint64) for c in ("parity", "v1", "w2", "w3")} | {"sig": lines.sum}
     if len(some):
         h = mix(lines.tok.copy())
         bit, word = np.uint64(1) << (h & np.uint64(63)), h >> np.uint64(6) & np.uint64(3)
         for c, ok in (("parity", None), ("v1", word & np.uint64(1)), ("w2", word == 2), ("w3", word == 3)):
             out[c][some] = np.bitwise_xor.reduceat(bit if ok is None else bit * ok.astype(np.uint64), lines.at[some])
-        out["sig"][some] = np.bitwise_xor.reduceat(h >> np.uint64(32), lines.at[some]).astype(np.uint32)
     return out
 
 
@@ -123,26 +139,25 @@ def _apart(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: np.nda
     return out
 
 
-def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: np.ndarray, buckets: int, threshold: float, open_: np.ndarray | None, bitmap: np.ndarray | None) -> pa.Table:
+def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: np.ndarray, shape: Shape, threshold: float, open_: np.ndarray | None, bitmap: np.ndarray | None) -> pa.Table:
     """Rows of _POSTED. open_: lines of the second round, bitmap: hashed words that they post."""
     own = _identity(lines)
-    parity, sig = own["parity"], own["sig"]
+    sig = own["sig"]
     some = np.flatnonzero(lines.len)
-    # the earliest line of each token set stands for the others of this pack
-    order = np.lexsort((some, ids[lines.row[some]], sig[some], parity[some], lines.len[some]))
+    # the earliest of equal lines stands for the others of this pack
+    order = np.lexsort((some, ids[lines.row[some]], sig[some], lines.len[some]))
     s = some[order]
     new = np.ones(len(s), bool)
-    new[1:] = (lines.len[s][1:] != lines.len[s][:-1]) | (parity[s][1:] != parity[s][:-1]) | (sig[s][1:] != sig[s][:-1])
+    new[1:] = (lines.len[s][1:] != lines.len[s][:-1]) | (sig[s][1:] != sig[s][:-1])
     stands = np.zeros(len(lines.len), bool)
     stands[s[new]] = True
     rank = np.empty(len(u), np.int64)
     rank[np.lexsort((u, total))] = np.arange(len(u))
     word = np.searchsorted(u, lines.tok)
-    both = np.sort(lines.line.astype(np.uint64) << np.uint64(_TOKEN) | rank[word].astype(np.uint64))
+    line, by_rarity = _sorted_pairs(lines.line, rank[word], len(lines.len))
     by_rank = np.empty(len(u), np.int64)
     by_rank[rank] = np.arange(len(u))
-    word = by_rank[(both & np.uint64((1 << _TOKEN) - 1)).astype(np.int64)]
-    line = lines.line
+    word = by_rank[by_rarity.astype(np.int64)]
     pos = np.arange(len(line)) - lines.at[line]
     n = lines.len[line]
     send = stands[line] & (pos < n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1) & (total[word] > 1)
@@ -155,21 +170,51 @@ def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: n
     out = {"tok": u[word[k]], "ord": line[k].astype(np.uint32), "doc": ids[lines.row[line[k]]], "len": n[k].astype(np.uint32), "pos": pos[k].astype(np.uint32), "flag": flag} | {c: v[line[k]] for c, v in own.items()}
     order = np.argsort(out["tok"], kind="stable")
     out = {c: v[order] for c, v in out.items()}
-    bounds = np.searchsorted(out["tok"], np.array([(b << _TOKEN) // buckets for b in range(buckets)], np.uint64))
-    bounds = np.append(bounds, len(k))
-    rows = []
-    for b in range(buckets):
-        lo, hi = int(bounds[b]), int(bounds[b + 1])
-        if lo < hi:
-            part = {c: out[c][lo:hi].astype(kind) for c, kind in _COLS}
-            for c, wide in _WIDER.items():
-                part[c] = part[c][part["len"] > wide]
-            rows.append({"bucket": b, "pack": pack, "n": hi - lo} | {c: squeeze(v) for c, v in part.items()})
+    rows = _posted(out, shape, pack, None)
     if bitmap is None:  # copies inside the pack travel as they are
-        rows.append({"bucket": -1 - pack, "pack": pack, "n": 0, "ord": squeeze(s[~new].astype(np.uint32))})
+        rows.append({"bucket": -1 - pack, "part": -1, "pack": pack, "n": 0, "ord": squeeze(s[~new].astype(np.uint32))})
     return pa.Table.from_pylist(rows, schema=_POSTED_ARROW)
 
 
+def _posted(c: dict[str, np.ndarray], shape: Shape, sender: int, packs: np.ndarray | None) -> list[dict]:
+    """Rows of _POSTED for postings in order of their words; packs: of each posting, where that is not the sender."""
+    rows = []
+    for p, lo, hi in cuts_of(shape.parts(c["tok"] << np.uint64(64 - _TOKEN))):
+        part = {name: c[name][lo:hi].astype(kind) for name, kind in _COLS}
+        for name, wide in _WIDER.items():
+            part[name] = part[name][part["len"] > wide]
+        whose = None if packs is None else squeeze(packs[lo:hi])
+        rows.append({"bucket": shape.bucket(p), "part": p, "pack": sender, "n": hi - lo, "packs": whose} | {name: squeeze(v) for name, v in part.items()})
+    return rows
+
+
+def _opened(t: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Packs and columns of the postings of some rows."""
+    packs = np.concatenate([np.full(n, pack) if whose is None else unsqueeze(whose, np.int64) for n, pack, whose in zip(t["n"].to_pylist(), t["pack"].to_pylist(), t["packs"].to_pylist())])
+    c = {name: np.concatenate([unsqueeze(x.as_py(), kind) for x in t[name]]) for name, kind in _COLS}
+    for name, wide in _WIDER.items():
+        full = np.zeros(len(packs), np.uint64)
+        full[c["len"] > wide] = c[name]
+        c[name] = full
+    return packs, c
+
+
+def _dealt(posted: DataFrame, shape: Shape, bits: int) -> DataFrame:
+    """Postings in ranges of about a pack's size: crews of packs send on what they have in a range, as ``answer`` does."""
+    if shape.packs <= 1 << bits:
+        return posted
+    crews = -(-shape.packs >> bits)
+    below = Shape(shape.bits + bits, crews, ())
+
+    def run(t: pa.Table) -> pa.Table:
+        packs, c = _opened(t)
+        order = np.argsort(c["tok"], kind="stable")
+        return pa.Table.from_pylist(_posted({k: v[order] for k, v in c.items()}, below, t["crew"][0].as_py(), packs[order]), schema=_POSTED_ARROW)
+
+    sent = posted.where("part >= 0").withColumn("crew", F.pmod(F.xxhash64("pack"), F.lit(crews))).groupBy("part", "crew").applyInArrow(run, _POSTED)
+    return _dealt(sent, below, bits).unionByName(posted.where("part < 0"))
+
+
 def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
     """One bucket's posting lists: copies (with_pack -1), candidates, and words under which a line has candidates
     that were not sent (with_pack -2, the word as with_ord). complete: all candidates of flagged lines."""
@@ -177,12 +222,7 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
         o = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in t["ord"]]).astype(np.int64)
         none = np.full(len(o), -1)
         return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none], schema=_FOUND_ARROW)
-    packs = np.repeat(t["pack"].to_numpy(), t["n"].to_numpy())
-    c = {name: np.concatenate([unsqueeze(x.as_py(), kind) for x in t[name]]) for name, kind in _COLS}
-    for name, wide in _WIDER.items():
-        full = np.zeros(len(packs), np.uint64)
-        full[c["len"] > wide] = c[name]
-        c[name] = full
+    packs, c = _opened(t)
     # lines in their order (id, pack, place), as numbers; then equal sets under one word
     order = np.lexsort((c["ord"], packs, c["doc"]))
     rank = np.empty(len(order), np.int64)
@@ -190,7 +230,7 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
     same_line = np.zeros(len(order), bool)
     same_line[1:] = (packs[order][1:] == packs[order][:-1]) & (c["ord"][order][1:] == c["ord"][order][:-1])
     rank = (np.cumsum(~same_line) - 1)[rank]
-    set_ = mix(mix(c["tok"] << np.uint64(24) ^ c["len"]) ^ mix(c["parity"] ^ c["sig"].astype(np.uint64) << np.uint64(32)))
+    set_ = mix(mix(c["tok"] << np.uint64(24) ^ c["len"]) ^ c["sig"])
     order = order[np.argsort(set_[order], kind="stable")]
     same = np.zeros(len(order), bool)
     same[1:] = set_[order][1:] == set_[order][:-1]
@@ -302,28 +342,28 @@ def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> D
     return each_pack(packs, verify, "pack long, ord long", mixed)
 
 
-def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> DataFrame:
+def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """(pack, ord) of all lines that go; k is the number of the text column in the packs, column 0 has the ids."""
-    buckets = buckets_for(packs)
+    shape = shape_for(packs, bits)
 
     def count(pack, t, _):
         lines = _Lines(t, k)
         u, c = np.unique(lines.tok, return_counts=True)
-        return asked(ask(pack, 0, u << np.uint64(64 - _TOKEN), c, buckets))
+        return asked(ask(pack, 0, u << np.uint64(64 - _TOKEN), c, shape))
 
-    totals = cut(answer(each_pack(packs, count, ASKED)))
+    totals = cut(answer(each_pack(packs, count, ASKED), shape, bits))
 
     def common(t, replies):
         lines = _Lines(t, k)
         u = distinct(lines.tok)
         ids = t["c0"].fill_null(-(1 << 62)).to_numpy()
-        return lines, ids, u, told(replies, 0, u << np.uint64(64 - _TOKEN), buckets)
+        return lines, ids, u, told(replies, 0, u << np.uint64(64 - _TOKEN), shape)
 
     def post(pack, t, replies):
         lines, ids, u, total = common(t, replies)
-        return _postings(pack, lines, ids, total, u, buckets, threshold, None, None)
+        return _postings(pack, lines, ids, total, u, shape, threshold, None, None)
 
-    found = each_pack(packs, post, _POSTED, totals).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, False), _FOUND)
+    found = _dealt(each_pack(packs, post, _POSTED, totals), shape, bits).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, False), _FOUND)
     found = cut(found.distinct())
     sure = found.where("with_pack = -1").select("pack", "ord")
     pairs = found.where("with_pack >= 0").join(sure, ["pack", "ord"], "left_anti")
@@ -338,12 +378,12 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD) -> Dat
         sent = packs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
         def again(pack, t, both):
-            lines, ids, u, total = common(t, both.filter(pc.is_valid(both["kind"])).select(["pack", "bucket", "kind", "n", "hit", "totals"]))
+            lines, ids, u, total = common(t, both.filter(pc.is_valid(both["kind"])).select(["pack", "part", "kind", "n", "hit", "totals"]))
             open_ = both.filter(pc.is_null(both["kind"]))["ord"].to_numpy()
-            return _postings(pack, lines, ids, total, u, buckets, threshold, open_, np.unpackbits(sent.value).astype(bool))
+            return _postings(pack, lines, ids, total, u, shape, threshold, open_, np.unpackbits(sent.value).astype(bool))
 
         mixed = totals.unionByName(unsure.select("pack", "ord").distinct(), allowMissingColumns=True)
-        more = each_pack(packs, again, _POSTED, mixed).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, True), _FOUND)
+        more = _dealt(each_pack(packs, again, _POSTED, mixed), shape, bits).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, True), _FOUND)
         more = cut(more.distinct().join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
         gone = gone.unionByName(_verified(packs, more, k, threshold))
     return gone.distinct()

@@ -64,5 +64,11 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def scan_partitions(df: DataFrame) -> int:
+    """How many partitions the plan of df has; for a scan this follows its bytes, and nothing runs."""
+    with settings(df.sparkSession, spark__sql__adaptive__enabled="false"):
+        return df.select("*").rdd.getNumPartitions()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import column_bytes, distinct, run_hashes, runs, window_hashes
-from .packs import ASKED, PACK_BYTES, answer, ask, asked, buckets_for, each_pack, make_packs, told
+from .packs import ASKED, PACK_BYTES, Shape, answer, ask, asked, each_pack, make_packs, shape_for, told
 from .shared import cut
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -77,7 +77,7 @@ class _Text:
         g = window_hashes(self.h, lengths[level])
         return g[at] if len(at) else np.zeros(0, np.uint64)
 
-    def survivors(self, upto: int, lengths: list[int], replies: pa.Table, buckets: int) -> np.ndarray:
+    def survivors(self, upto: int, lengths: list[int], replies: pa.Table, shape: Shape) -> np.ndarray:
         """Starts whose windows repeat at every level before upto."""
         alive = self.full
         for level in range(upto):
@@ -86,7 +86,7 @@ class _Text:
             ok = np.ones(len(alive), bool)
             sent = self.places(level, lengths, alive)
             u = distinct(self.hashes(level, lengths, distinct(np.concatenate(sent))))
-            total = told(replies, level, u, buckets)
+            total = told(replies, level, u, shape)
             for at in sent:
                 ok &= total[np.searchsorted(u, self.hashes(level, lengths, at))] >= 2
             alive = alive[ok]
@@ -99,26 +99,26 @@ def removed_words(docs: DataFrame, width: int, pack_bytes: int, finish, schema:
         raise ValueError("width >= 2")
     lengths = levels(width)
     packs = make_packs(docs, pack_bytes)
-    buckets = buckets_for(packs)
+    shape = shape_for(packs)
     answers = None
     for level in range(len(lengths)):
 
         def send(pack, t, replies, level=level):
             text = _Text(t, width)
-            alive = text.survivors(level, lengths, replies, buckets)
+            alive = text.survivors(level, lengths, replies, shape)
             if not len(alive):
                 return asked([])
             # every occurrence counts: a place is sent once, however many windows it stands for
             at = distinct(np.concatenate(text.places(level, lengths, alive)))
             u, c = np.unique(text.hashes(level, lengths, at), return_counts=True)
-            return asked(ask(pack, level, u, c, buckets))
+            return asked(ask(pack, level, u, c, shape))
 
-        new = cut(answer(each_pack(packs, send, ASKED, answers)))
+        new = cut(answer(each_pack(packs, send, ASKED, answers), shape))
         answers = new if answers is None else answers.unionByName(new)
 
     def end(pack, t, replies):
         text = _Text(t, width)
-        hit = text.survivors(len(lengths), lengths, replies, buckets)
+        hit = text.survivors(len(lengths), lengths, replies, shape)
         gone = np.zeros(len(text.h) + 1, np.int64)
         np.add.at(gone, hit, 1)
         np.add.at(gone, hit + width, -1)
