@@ -128,8 +128,9 @@ def vectors(spark):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_cross_polytope(spark, block):
+@pytest.mark.parametrize("block,whole", [(1024, 8192), (2, 0)])
+def test_cross_polytope(spark, block, whole, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "SLICE", max(1, whole))
     rows = vectors(spark)
     df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<float>, label int, codes string, w double").repartition(3)
 
@@ -146,10 +147,25 @@ def test_cross_polytope(spark, block):
     n = [sum(linked(a, b) for b in range(len(rows)) if b != a) for a in range(len(rows))]
     comp = data.components([r[0] for r in rows], linked)
     want = sorted(((r[0], k, c, r[0] == c) for r, k, c in zip(rows, n, comp)), key=repr)
-    assert data.kept(cross_polytope.near_duplicates(df, block=block), "vec_id", "n_links", "component_id", "kept") == want
+    assert data.kept(cross_polytope.near_duplicates(df, block=block, whole=whole), "vec_id", "n_links", "component_id", "kept") == want
     assert cross_polytope.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [3, 16, 64, 128, 384, 768, 1024])
+def test_pairs_at_the_bound_are_found(d):
+    """Pairs of cosine 0.93 share a bucket and have near sketches in any number of dimensions."""
+    rng = np.random.default_rng(d)
+    n = 300 if d > 500 else 1500
+    x, y = rng.normal(size=(n, d)), rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y
+    assert (cross_polytope._first_shared(cross_polytope.codes(x), cross_polytope.codes(y)) < np.iinfo(np.int64).max).all()
+    apart = np.bitwise_count(cross_polytope.sketches(x) ^ cross_polytope.sketches(y)).sum(axis=1)
+    assert (apart <= cross_polytope.most_apart(0.93)).all()
+
+
 def test_hadamard_is_orthogonal():
     h = cross_polytope.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16))

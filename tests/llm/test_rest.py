@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import re
 import zlib
 
 import numpy as np
@@ -120,6 +122,53 @@ def test_licenses(spark):
     assert got == {1: (1, "mit"), 2: (0, ""), 3: (0, ""), 4: (2, "cc-by"), 5: (1, "apache,apache-2.0")}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:"""
+APACHE = "Licensed under the Apache\n   License, Version 2.0 (the License);"
+GPL = """This program is free software: you can redistribute it and/or modify
+  it under the terms of the GNU General Public License as published by
+  the Free Software Foundation, either version 3 of the License"""
+
+
+def brute_labels(text, threshold=0.8):
+    """Every run of as many words as a notice has, by sets."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    labels, score = set(), 0.0
+    for label, notice in license_scan.NOTICES:
+        m, tokens = len(notice.split()), set(notice.split())
+        c = max((len(tokens & set(w[i : i + m])) / len(tokens) for i in range(len(w))), default=0)
+        if c >= threshold - 1e-9:
+            labels.add(label)
+            score = max(score, c)
+    return labels, score
+
+
+def test_wrapped_notices(spark):
+    rng, vocabulary = random.Random(8), sorted({t for _, n in license_scan.NOTICES for t in n.split()}) + ["alpha", "beta"]
+    filler = " ".join(rng.choice(["alpha", "beta", "the", "of"]) for _ in range(300))
+    texts = [MIT, BSD, APACHE, GPL, f"{filler}\n{MIT}\n{filler} {GPL}", filler, "mozilla " * 500, " ".join(MIT.split()[::2]), None, ""]
+    for _ in range(60):  # notices with words lost and put between, in random company
+        _, notice = rng.choice(license_scan.NOTICES)
+        own = [t for t in notice.split() if rng.random() > 0.12]
+        for _ in range(rng.randrange(4)):
+            own.insert(rng.randrange(len(own) + 1), rng.choice(vocabulary))
+        texts.append("\n".join([filler[: rng.randrange(200)], " \n".join(own), " ".join(rng.choice(vocabulary) for _ in range(40))]))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        labels, score = brute_labels(text)
+        assert set(filter(None, got[i]["labels"].split(","))) == labels | set(filter(None, got[i]["base_labels"].split(","))), text
+        assert abs(got[i]["score"] - score) < 1e-12
+    assert [got[i]["labels"] for i in range(4)] == ["mit", "bsd", "apache,apache-2.0", "gpl"] and got[5]["labels"] == got[6]["labels"] == ""
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs, per_label=80)

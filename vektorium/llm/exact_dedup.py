@@ -10,8 +10,10 @@ one's. Texts that take part are found by a Bloom filter of the hits, of at most
 64-bit words whatever the input (a full filter lets more texts through, never fewer).
 
 A run sends one entry for each digest, so a text that fills a third of the table costs one
-entry for each run. Verification is dealt by digest and slice: the kept text is repeated once
-for each slice of a group, so no task gets a whole hot group.
+entry for each run. There is a range for every ``RANGE`` rows of the table, so what a task compacts
+does not grow. Rows of hot groups are salted before any join: a group of more than 1 / 10,000 of
+the table (at most 10,000 groups, whose digests are broadcast) is cut into slices of ``slice_rows``,
+and its entry of the index and its kept text are repeated once for each slice.
 
 Defined cases: null counts as the empty text; repeated rows (same id, same text) are copies of
 each other and are all marked kept if their id is; a null id stays only in a group without any
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import squeeze, unsqueeze
-from .shared import cut, table, tasks
+from .shared import Slices, cut, table, tasks
 
 MEMTABLE = 200_000
 SLICE = 2_000
+RANGE = 100_000
 FILTER_WORDS = 1 << 20
 _PIECE = "bucket long, run long, digests array<binary>, ids array<long>, counts binary"
 _PIECE_ARROW = pa.schema([("bucket", pa.int64()), ("run", pa.int64()), ("digests", pa.list_(pa.binary())), ("ids", pa.list_(pa.int64())), ("counts", pa.binary())])
@@ -142,7 +145,7 @@ def pieces(digests: DataFrame, pick, ranges: int, memtable: int = MEMTABLE) -> D
     return digests.mapInArrow(run, _PIECE)
 
 
-def hits(digests: DataFrame, keep: str, memtable: int = MEMTABLE) -> DataFrame:
+def hits(digests: DataFrame, keep: str, ranges: int, memtable: int = MEMTABLE) -> DataFrame:
     """(digest, keep_id, group_size) of the digests that occur twice or more among (doc_id, digest)."""
     pick = picker(keep)
 
@@ -153,7 +156,7 @@ def hits(digests: DataFrame, keep: str, memtable: int = MEMTABLE) -> DataFrame:
         rows = [x for x in compact(runs).rows if x[2] > 1]
         return pa.table({"digest": pa.array([x[0] for x in rows], pa.binary()), "keep_id": pa.array([x[1] for x in rows], pa.int64()), "group_size": pa.array([x[2] for x in rows], pa.int64())})
 
-    return pieces(digests, pick, tasks(digests.sparkSession), memtable).groupBy("bucket").applyInArrow(merged, "digest binary, keep_id long, group_size long")
+    return pieces(digests, pick, ranges, memtable).groupBy("bucket").applyInArrow(merged, "digest binary, keep_id long, group_size long")
 
 
 def _filter(found: DataFrame, n: int) -> np.ndarray:
@@ -187,13 +190,15 @@ def groups(docs: DataFrame, keep: str = "largest", digest=None, memtable: int =
     sha = F.unhex(F.sha2("text", 256))
     key = sha if digest is None else digest(F.col("text"))
     ids = cut(texts.select("doc_id", key.alias("digest"), sha.alias("sha")) if digest else texts.select("doc_id", key.alias("digest")))
-    found = cut(hits(ids.select("doc_id", "digest"), keep, memtable))
+    n_rows = ids.count()
+    found = cut(hits(ids.select("doc_id", "digest"), keep, max(tasks(docs.sparkSession), -(-n_rows // RANGE)), memtable))
     n = found.count()
+    slices = Slices(found.select("digest", F.col("group_size").alias("n")), ["digest"], n_rows, slice_rows)
 
     hex_ = F.lower(F.hex("sha" if digest else "digest"))
     size = F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size")
     stays = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id")
-    out = ids.join(found, "digest", "left").select("doc_id", stays, size, hex_.alias("text_sha256"), "digest")
+    out = slices.salt(ids).join(slices.repeat(found), ["digest", "slice"], "left").select("doc_id", stays, size, hex_.alias("text_sha256"), "digest")
     if n:
         # byte verification of the hits: the kept text goes to each slice of its group
         sent = docs.sparkSession.sparkContext.broadcast(_filter(found, n))
@@ -205,11 +210,9 @@ def groups(docs: DataFrame, keep: str = "largest", digest=None, memtable: int =
                     yield b.filter(pa.array(may))
 
         full = texts.select("doc_id", "text", key.alias("digest")).mapInArrow(suspects, "doc_id long, text string, digest binary")
-        member = full.join(found.withColumn("slices", F.ceil(F.col("group_size") / slice_rows).cast("int")), "digest")
-        member = member.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.col("slices").cast("long")).cast("int"))
-        first = member.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("kept_text"), F.first("slices").alias("slices"))
-        first = first.select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        odd = cut(member.join(first, ["digest", "slice"]).where("NOT (text <=> kept_text)").select("digest").distinct())
+        member = slices.salt(full).join(slices.repeat(found), ["digest", "slice"])
+        first = member.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("kept_text"))
+        odd = cut(member.join(slices.repeat(first), ["digest", "slice"]).where("NOT (text <=> kept_text)").select("digest").distinct())
         if odd.head(1):  # digests that do not stand for one text: these alone are grouped by the bytes
             mixed = full.join(odd, "digest", "left_semi")
             apart = mixed.groupBy("text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))

@@ -7,6 +7,9 @@ import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+HOT_KEYS = 10_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -70,5 +73,27 @@ def scan_partitions(df: DataFrame) -> int:
         return df.select("*").rdd.getNumPartitions()
 
 
+class Slices:
+    """Splits the hot keys of a join: keys with more than max(slice_rows, n_rows / HOT_KEYS) rows are cut into slices.
+
+    sizes has the key columns and the column ``n`` of rows of each key; at most HOT_KEYS of its rows are broadcast.
+    ``salt`` adds the slice to the many rows, ``repeat`` to the one row of each key; both are then joined by
+    [*keys, "slice"]. Which slice a row gets does not matter.
+    """
+
+    def __init__(self, sizes: DataFrame, keys: list[str], n_rows: int, slice_rows: int):
+        self.keys = keys
+        n = F.ceil(F.col("n") / slice_rows).cast("int")
+        self.hot = F.broadcast(sizes.where(F.col("n") > max(slice_rows, n_rows // HOT_KEYS)).select(*keys, n.alias("slices")))
+
+    def salt(self, df: DataFrame) -> DataFrame:
+        one = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("slices")).cast("int")
+        return df.join(self.hot, self.keys, "left").withColumn("slice", F.coalesce(one, F.lit(0))).drop("slices")
+
+    def repeat(self, df: DataFrame) -> DataFrame:
+        every = F.sequence(F.lit(0), F.coalesce(F.col("slices") - 1, F.lit(0)))
+        return df.join(self.hot, self.keys, "left").withColumn("slice", F.explode(every)).drop("slices")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
