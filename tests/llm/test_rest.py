@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import data
@@ -63,12 +65,14 @@ def test_mixing(spark, sf_dir, slice_, monkeypatch):
 
 def test_mixed_rows(spark):
     df = data.docs(spark)
-    out, copies = mixing.mixed(df), {r["doc_id"]: r["copies"] for r in mixing.plan(df).collect()}
+    out, copies = mixing.mixed(df), {}
+    for r in mixing.plan(df).collect():  # rows that share a doc_id are taken one by one
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + r["copies"]
     assert out.columns == df.columns
     n = {}
     for r in out.collect():
         n[r["doc_id"]] = n.get(r["doc_id"], 0) + 1
-    assert all(n.get(i, 0) == c * (2 if i == 4 else 1) for i, c in copies.items())
+    assert all(n.get(i, 0) == c for i, c in copies.items())
     assert mixing.plan(data.empty(spark)).count() == 0 and mixing.mixed(data.empty(spark)).count() == 0
 
 
@@ -180,6 +184,107 @@ def test_language_accuracy(spark, sf_dir):
     assert model["weights"].size and (model["weights"] == 0).mean() > 0.3  # sparse
 
 
+def plain_model(rows, per_label, epochs=4, seed=7, alpha=0.5, beta=1.0, l1=0.02, l2=0.05):
+    """Language ID a second time, by dictionaries and loops: rows of (hash, text, lang) that may be learned from."""
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        cp, c = [ord(x) for x in text.lower()], {}
+        for n in (1, 2, 3):
+            for i in range(len(cp) - n + 1):
+                g = 0
+                for x in cp[i : i + n]:
+                    g = (g * 0x9E3779B97F4A7C15 + x) & mask if n > 1 else x
+                h = (g * 0xBF58476D1CE4E5B9 + n) & mask
+                k = ((h ^ h >> 29) * 0x94D049BB133111EB & mask) >> 50
+                c[k] = c.get(k, 0) + 1
+        return c
+
+    df = {}
+    for _, text, _ in rows:
+        for k in grams(text):
+            df[k] = df.get(k, 0) + 1
+    idf = lambda k: math.log((1 + len(rows)) / (1 + df.get(k, 0))) + 1
+    by_lang, picked = {}, []
+    for h, text, lang in sorted(set(rows)):
+        by_lang.setdefault(lang, []).append((h, text, lang))
+    for own in by_lang.values():
+        picked += own[:per_label]
+    labels, examples = sorted(by_lang), []
+    for h, text, lang in sorted(picked, key=lambda r: (r[0], r[2])):
+        v = {k: (1 + math.log(n)) * idf(k) for k, n in grams(text).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        examples.append(({k: x / size for k, x in v.items()} | {1 << 14: 1.0}, labels.index(lang)))
+    rng = np.random.default_rng(seed)
+    rng.shuffle(examples)
+    held, z, n = examples[: len(examples) // 5], {}, {}
+
+    def weight(k, y):
+        zz, nn = z.get((k, y), 0.0), n.get((k, y), 0.0)
+        return 0.0 if abs(zz) <= l1 else -(zz - math.copysign(l1, zz)) / ((beta + math.sqrt(nn)) / alpha + l2)
+
+    logits = lambda v: [sum(x * weight(k, y) for k, x in v.items()) for y in range(len(labels))]
+
+    def soft(a):
+        e = [math.exp(x - max(a)) for x in a]
+        return [x / sum(e) for x in e]
+
+    learn = examples[len(held) :] or examples
+    for _ in range(epochs):
+        for at in rng.permutation(len(learn)):
+            v, label = learn[at]
+            p = soft(logits(v))
+            for k, x in v.items():
+                for y in range(len(labels)):
+                    g, old, w = x * (p[y] - (y == label)), n.get((k, y), 0.0), weight(k, y)
+                    z[k, y] = z.get((k, y), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w
+                    n[k, y] = old + g * g
+    grid = [math.exp(math.log(0.02) + (math.log(10) - math.log(0.02)) * i / 119) for i in range(120)]
+    loss = [sum(-math.log(soft([a / t for a in logits(v)])[y] + 1e-12) for v, y in held) for t in grid]
+    t = grid[loss.index(min(loss))] if held else 1.0
+
+    def predict(text):
+        v = {k: (1 + math.log(n)) * idf(k) for k, n in grams(text).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        p = soft([a / t for a in logits({k: x / size for k, x in v.items()} | {1 << 14: 1.0})])
+        return labels[p.index(max(p))], max(p)
+
+    return t, predict
+
+
+def test_language_by_loops(spark):
+    texts = ["the cat sat on the mat", "the dog and the cat", "a man and the sea", "der Hund und die Katze", "die Frau und das Meer", "ein Mann und der See", "le chat et le chien", "la mer et le soleil", "un homme et la mer"]
+    rows = [(i, f"{texts[i % 9]} {i * 7 % 11} {texts[(i * 5 + 3) % 9 // 3 * 3 + i % 3] if i % 4 else ''}", ["en", "de", "fr"][i % 9 // 3]) for i in range(60)]
+    rows += [rows[1], rows[1], (7, "noch ein Text mit der Nummer von oben", "de"), (None, "encore un texte", "fr"), (70, None, "en"), (71, "not labelled", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(df, per_label=8)
+    usable = df.where("text IS NOT NULL AND lang IS NOT NULL AND pmod(crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)), 5) <> 0")
+    hashed = [tuple(r) for r in usable.selectExpr("xxhash64(doc_id, text, 7)", "text", "lang").collect()]
+    t, predict = plain_model(hashed, 8)
+    assert abs(model["temperature"] - t) < 1e-9 and model["labels"] == ["de", "en", "fr"]
+    for _, text, _ in rows:
+        if text:
+            label, p = predict(text)
+            got = langid.score(text, model)
+            assert got[0] == label and abs(got[1] - p) < 1e-9
+    again = langid.train(df.repartition(5), per_label=8)
+    assert (again["weights"] == model["weights"]).all()
+
+
+def test_language_sample(spark):
+    hashes = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') AS lang", "xxhash64(id) AS h").union(spark.createDataFrame([("c", 5)] * 50, "lang string, h long"))
+    every = {}
+    for r in hashes.distinct().collect():
+        every.setdefault(r["lang"], []).append(r["h"])
+    assert langid._sample(hashes, 5) == sorted((lang, x) for lang, h in every.items() for x in sorted(h)[:5])
+
+
+def test_too_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 2)
+    with pytest.raises(ValueError):
+        langid._sample(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "lang string, h long"), 5)
+
+
 def test_language_edges(spark):
     model = langid.train(data.docs(spark))
     out = {r["doc_id"]: r for r in langid.predict(data.docs(spark), model).collect()}
@@ -189,6 +294,7 @@ def test_language_edges(spark):
     assert langid.train(data.empty(spark)) is None
     assert langid.predict(data.docs(spark), None).where("lang_pred <> 'und' OR score <> 0").count() == 0
     assert langid.predict(data.empty(spark), model).count() == 0
+    assert {r["doc_id"] for r in langid.accepted(data.docs(spark), None).collect()} == set(range(len(data.TEXTS))) - {0, 1, 2, 11} | {None}
 
 
 def test_pipeline(spark, sf_dir, library):
@@ -212,3 +318,34 @@ def test_pipeline(spark, sf_dir, library):
         assert list(r["ids"] or []) == library.encode_ordinary(texts[r["doc_id"]] or "")
     assert held["bpe"].count() == held["mixing"].count()
     assert corpus_pipeline.run(spark, sf_dir).count() == held["bpe"].count()
+
+
+def test_pipeline_edges(spark, library):
+    """Nulls, empty and long texts, repeated rows, clashing names, no labels, no rows."""
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (data.docs(spark), data.docs(spark).withColumn("lang", F.lit(None).cast("string")), data.empty(spark)):
+        seen, before = {}, docs
+        for name, stage in corpus_pipeline.STAGES:
+            before = stage(spark, before, "").cache()
+            seen[name] = before
+            assert name == "bpe" or before.columns == docs.columns
+        n = {name: df.count() for name, df in seen.items()}
+        if not docs.count():
+            assert set(n.values()) == {0}
+            continue
+        ids = {r["doc_id"] for r in seen["language_id"].collect()}
+        assert {3, 4, 7, 8, 9, 12, 13} <= ids and not ids & {0, 1, 2, 11}
+        assert n["line_dedup"] == n["language_id"] and n["bpe"] == n["mixing"]
+        assert seen["line_dedup"].where("n_chars <> length(text) OR isnull(n_chars) <> isnull(text)").count() == 0
+        stay = [r["doc_id"] for r in seen["simhash"].collect()]
+        assert len(set(stay)) == len(stay) and {3, 7, 9, None} <= set(stay) and 10 not in stay
+        for r in seen["bpe"].collect():
+            texts = {x["text"] for x in seen["mixing"].collect() if x["doc_id"] == r["doc_id"]}
+            assert list(r["ids"] or []) in [library.encode_ordinary(t or "") for t in texts]
+    loose = spark.createDataFrame([r[:5] for r in data.rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = loose.collect()
+    copies = {}
+    for r in stages["mixing"](spark, loose, "").collect():
+        copies[r] = copies.get(r, 0) + 1
+    planned = sum(r["copies"] for r in mixing.plan(loose).collect())
+    assert sum(copies.values()) == planned and set(copies) <= set(rows)

@@ -11,7 +11,8 @@ holds at most ``CACHE`` parts and is emptied when full.
 
 Defined cases: null counts as empty (no ids, digests of the empty string); there are no special
 tokens: their strings are ordinary text; repeated rows give repeated results; an empty table
-gives no rows; further columns are dropped by ``digests`` and kept by ``encode``.
+gives no rows; further columns are dropped by ``digests`` and kept by ``encode``; bytes that are no
+UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -190,7 +191,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", ids:
         c = coder(vocabulary.value, pattern)
         return texts.map(lambda x: c.encode(x or ""))
 
-    return docs.withColumn(ids, run(F.coalesce(column, F.lit(""))))
+    return docs.withColumn(ids, run(F.make_valid_utf8(F.coalesce(column, F.lit("")))))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -204,7 +205,7 @@ def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             raw, rows = data.tobytes(), []
             for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist()):
                 n, ids, back, parts = 0, hashlib.sha256(), hashlib.sha256(), []
-                for part in c.slices(raw[lo:hi].decode()):
+                for part in c.slices(raw[lo:hi].decode(errors="replace")):
                     got = c._slice(part)
                     n += len(got) // 4
                     ids.update(got)

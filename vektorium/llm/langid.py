@@ -4,16 +4,22 @@ Features are character n-grams (1 to 3 code points of the lower-cased text) hash
 columns, weighted by (1 + log tf) * idf and scaled to unit length. Document frequencies are
 counted over every labelled document that may be learned from. The regression is trained with
 FTRL-proximal and elastic-net penalties on a sample of at most ``per_label`` documents of each
-label (those with the smallest hashes of doc_id), then calibrated with one temperature on a part
-of that sample that it was not trained on.
+label, those with the smallest hashes of doc_id and text, then calibrated with one temperature on
+a part of that sample that it was not trained on.
+
+The sample is taken without bringing a label's rows together: a bound of the hash that about four
+times ``per_label`` documents stay under is set from the label's distinct count (sketches, merged
+map-side), and only hashes under it are gathered; where too few are, the bound is raised. At most
+``MOST_LABELS`` labels are learned (more raise an error), which bounds the model that is broadcast.
 
 Learned from are rows with a text, a non-null lang and crc32(doc_id as text) mod 5 <> 0.
 Predictions see the text alone.
 
 Defined cases: ``und`` with score 0 for a null text, a text without any letter, and every text if
-there is nothing to learn from; repeated rows are predicted alike and sampled once; null doc_id
-counts as the empty string for the fold; an empty table gives no rows; further columns are
-dropped by ``predict`` and kept by ``accepted``.
+there is nothing to learn from; repeated rows are predicted alike and sampled once, rows that share a
+doc_id but not the text are documents of their own; null doc_id counts as the empty string for the
+fold; an empty table gives no rows; further columns are dropped by ``predict`` and kept by
+``accepted``, which keeps every text with a letter where there is no model.
 """
 
 from __future__ import annotations
@@ -23,7 +29,6 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kernels import squeeze, unsqueeze
@@ -31,6 +36,8 @@ from .shared import table
 
 BITS = 14
 PER_LABEL = 500
+MOST_LABELS = 400
+SLACK = 64
 _LETTER = regex.compile(r"\p{L}")
 _STEP = 1 << 20
 
@@ -93,6 +100,29 @@ def _fold() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def _sample(hashes: DataFrame, per_label: int) -> list[tuple[str, int]]:
+    """(lang, h): the per_label smallest distinct h of each lang."""
+    sizes = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    low, high = -(1 << 63), (1 << 63) - 1
+    open_ = {lang: min(1.0, (4 * per_label + SLACK) / max(1, n)) for lang, n in sizes.items()}
+    out = []
+    while open_:
+        bounds = {lang: high if part >= 1 else low + int(part * (1 << 64)) for lang, part in open_.items()}
+        few = F.broadcast(hashes.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound long"))
+        under: dict = {lang: [] for lang in open_}
+        for r in hashes.join(few, "lang").where("h <= bound").select("lang", "h").distinct().collect():
+            under[r["lang"]].append(r["h"])
+        for lang, h in under.items():
+            if len(h) >= per_label or bounds[lang] == high:
+                out += [(lang, x) for x in sorted(h)[:per_label]]
+                del open_[lang]
+            else:
+                open_[lang] = min(1.0, 4 * open_[lang])
+    return sorted(out)
+
+
 def train(docs: DataFrame, per_label: int = PER_LABEL, epochs: int = 4, seed: int = 7) -> dict | None:
     """A model (labels, idf, weights, temperature) from docs(doc_id, text, lang); None if there is nothing to learn from."""
     usable = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_fold() != 0))
@@ -116,20 +146,20 @@ def train(docs: DataFrame, per_label: int = PER_LABEL, epochs: int = 4, seed: in
     total = float(got["n"][got["k"] == 0].iloc[0])
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    # at most per_label ids of each label, then their features: a bounded amount reaches the driver
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    ids = [r[0] for r in usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("doc_id").collect() if r[0] is not None]
+    chosen = _sample(usable.select("lang", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h")), per_label)
 
     def features(batches):
         for b in batches:
-            blobs = [(c := counts(x.as_py())) is not None and (squeeze(np.flatnonzero(c).astype(np.uint16)), squeeze(c[c > 0].astype(np.uint32))) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())], ["doc_id", "lang", "at", "c"])
+            blobs = [(c := counts(x.as_py())) is not None and (squeeze(np.flatnonzero(c).astype(np.uint16)), squeeze(c[c > 0].astype(np.uint32))) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in blobs], pa.binary()), pa.array([x[1] for x in blobs], pa.binary())], ["lang", "h", "at", "c"])
 
-    picked = usable.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long"), "text", "lang")
-    rows = picked.mapInArrow(features, "doc_id long, lang string, at binary, c binary").dropDuplicates(["doc_id"]).collect()
+    # a bounded amount: per_label documents of each of MOST_LABELS labels at most
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h long"))
+    picked = usable.withColumn("h", F.xxhash64("doc_id", "text", F.lit(seed))).join(few, ["lang", "h"], "left_semi").select("lang", "h", "text")
+    rows = picked.mapInArrow(features, "lang string, h long, at binary, c binary").dropDuplicates(["lang", "h"]).collect()
     labels = sorted({r["lang"] for r in rows})
     examples = []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
+    for r in sorted(rows, key=lambda r: (r["h"], r["lang"])):
         c = np.zeros(size, np.int64)
         c[unsqueeze(r["at"], np.uint16)] = unsqueeze(r["c"], np.uint32)
         examples.append((*weigh(c, idf), labels.index(r["lang"])))
@@ -169,11 +199,13 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict | None, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text has a language with a score of ``least`` or more; all columns stay as they are."""
+    """The rows of docs whose text has a language with a score of ``least`` or more (without a model: has a letter); all columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
+        if sent.value is None:
+            return pd.Series([x is not None and bool(_LETTER.search(x)) for x in texts], dtype=bool)
         got = [score(x, sent.value) for x in texts]
         return pd.Series([g[0] != "und" and g[1] >= least for g in got], dtype=bool)
 

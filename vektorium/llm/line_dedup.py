@@ -21,7 +21,7 @@ does not matter. Blank lines have no tokens and stay.
 
 Words are compared by 40-bit hashes within pairs of lines, equal lines by 64-bit sums of whole hashes. Defined cases: null and empty texts
 have one empty line and stay; equal lines of one text count, the first stays; rows with the same
-doc_id are ordered by where they lie in the table; an empty table gives no rows; further columns
+doc_id are ordered by where they lie in the table; bytes that are no UTF-8 count as U+FFFD; an empty table gives no rows; further columns
 pass through ``dedup`` unchanged, whatever their names.
 """
 
@@ -416,7 +416,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, pack_bytes: int = PACK_
 
     def finish(t, texts, n, removed):
         was = t["c1"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        t = t.set_column(1, "c1", pa.array([None if w else x.decode() for x, w in zip(texts, was)], pa.string()))
+        t = t.set_column(1, "c1", pa.array([None if w else x.decode(errors="replace") for x, w in zip(texts, was)], pa.string()))
         return t.rename_columns(front)
 
     schema = docs.select(*front).schema
@@ -437,4 +437,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-SQL = None
+SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM d),
+t AS (SELECT doc_id, n, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM l),
+sets AS (SELECT s, min({'d': doc_id, 'n': n}) AS first, row_number() OVER () AS k FROM t WHERE len(s) > 0 GROUP BY s),
+words AS (SELECT k, first, len(s) AS size, unnest(s) AS w FROM sets),
+ranked AS (SELECT k, first, size, w, row_number() OVER (PARTITION BY k ORDER BY c, w) AS r FROM words JOIN (SELECT w, count(*) AS c FROM words GROUP BY w) USING (w)),
+prefix AS (SELECT * FROM ranked WHERE r <= size - ceil(0.8 * size - 1e-9) + 1),
+pairs AS (SELECT DISTINCT a.k AS earlier, b.k AS later FROM prefix AS a JOIN prefix AS b ON a.w = b.w AND a.first < b.first AND a.size * 5 >= b.size * 4 AND b.size * 5 >= a.size * 4),
+alike AS (SELECT DISTINCT b.k FROM pairs JOIN sets AS a ON a.k = earlier JOIN sets AS b ON b.k = later WHERE len(list_intersect(a.s, b.s)) * 9 >= (len(a.s) + len(b.s)) * 4),
+marked AS (SELECT t.doc_id, t.n, t.line, sets.k IS NOT NULL AND (sets.first <> {'d': t.doc_id, 'n': t.n} OR alike.k IS NOT NULL) AS gone FROM t LEFT JOIN sets USING (s) LEFT JOIN alike ON alike.k = sets.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY 1
+"""

@@ -17,7 +17,7 @@ the table of sources).
 
 Defined cases: null and blank texts have size 0 and are repeated like the others but add no
 words; a source without any words has target 0; sources of one size and weight are ordered by
-name; repeated rows are documents of their own and are taken alike; an empty table gives no
+name; rows that share a doc_id are documents of their own, equal ones included; an empty table gives no
 rows; further columns are dropped by ``plan`` and kept by ``mixed``.
 """
 
@@ -36,8 +36,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, key): words of each whole text; equal rows have equal keys."""
+    return docs.select(F.col("doc_id").cast("long"), "source", F.xxhash64("doc_id", "text", "source").alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -59,33 +59,43 @@ def targets(sized: DataFrame, share: float = 1.5, epochs: float = 2.0, weights:
 
 def plan(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row of docs(doc_id, text, source)."""
-    return _planned(cut(sizes(docs)), share, epochs, weights, seed)
+    return _planned(cut(sizes(docs)), share, epochs, weights, seed).drop("key")
 
 
 def _planned(sized: DataFrame, share: float, epochs: float, weights: tuple, seed: int) -> DataFrame:
-    # the hash as a whole number below 2**31; slices are ranges of it, about SLICE documents each
-    named = sized.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 31)))
+    # the hash as a whole number below 2**28; slices are ranges of it, about SLICE documents each
+    named = sized.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 7), 16, 10).cast("long"))
     by_source = targets(sized, share, epochs, weights).withColumn("slices", F.ceil(F.col("docs") / SLICE).cast("long"))
     by_source = by_source.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     by_source = by_source.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    rows = named.alias("d").join(by_source.alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.source_size", "s.target", "s.whole", "s.rest", F.shiftright(F.col("h") * F.col("slices"), 31).alias("slice"))
+    rows = named.alias("d").join(by_source.alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.source_size", "s.target", "s.whole", "s.rest", F.shiftright(F.col("h") * F.col("slices"), 28).alias("slice"))
     rows = rows.withColumn("_s", F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name")))
     ahead = rows.groupBy("_s", "slice").agg(F.sum("size").alias("in_slice"))
     ahead = ahead.withColumn("before_slice", F.coalesce(F.sum("in_slice").over(W.partitionBy("_s").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("in_slice")
-    inside = F.coalesce(F.sum("size").over(W.partitionBy("_s", "slice").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("_s", "slice").orderBy("h", "doc_id", "size", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("inside", inside).join(ahead, ["_s", "slice"])
     once_more = F.col("before_slice") + F.col("inside") + F.col("size") / 2 <= F.col("rest")
     copies = F.col("whole") + F.when((F.col("rest") > 0) & once_more, 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("int")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return rows.withColumn("copies", copies.cast("int")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "key")
 
 
 def mixed(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
     """docs with each row repeated as often as the plan takes it (not at all, where that is 0)."""
-    chosen = _planned(cut(sizes(docs)), share, epochs, weights, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("n"))
-    both = docs.alias("d").join(chosen.alias("c"), F.expr("cast(d.doc_id as bigint) <=> c.doc_id"))
-    kept = [F.col(f"d.`{c}`") for c in docs.columns]
+    planned = cut(_planned(cut(sizes(docs)), share, epochs, weights, seed).groupBy("key").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")))
+    chosen = planned.where("n > 0")
     extra = "copy" + "_" * max(map(len, docs.columns))  # longer than any name of docs
-    return both.select(*kept, F.explode(F.sequence(F.lit(1), F.col("c.n"))).alias(extra)).drop(extra)
+    keyed = docs.withColumn(extra, F.xxhash64("doc_id", "text", "source")).alias("d")
+
+    def repeated(rows: DataFrame, plan_: DataFrame) -> DataFrame:
+        both = rows.alias("d").join(plan_.alias("c"), F.expr(f"d.`{extra}` = c.key"))
+        return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("c.n").cast("int"))).alias(extra)).drop(extra)
+
+    if not planned.where("rows > 1").head(1):
+        return repeated(keyed, chosen)
+    # equal rows stand for one another: one of them is repeated as often as all of them are taken
+    several = chosen.where("rows > 1")
+    one = keyed.join(several.alias("s"), F.expr(f"d.`{extra}` = s.key"), "left_semi").dropDuplicates([extra])
+    return repeated(keyed, chosen.where("rows = 1")).unionByName(repeated(one, several))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -93,4 +103,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents"))
 
 
-SQL = None
+SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5('20-' || doc_id), 1, 7) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w, 2.0::DOUBLE * source_size AS stop FROM s),
+o AS (SELECT *, stop / w AS full_at, row_number() OVER (ORDER BY stop / w, source NULLS LAST) AS r,
+  (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level
+  FROM w WINDOW p AS (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN f.level IS NULL THEN stop ELSE least(stop, w * f.level) END AS target
+  FROM o LEFT JOIN (SELECT level FROM o WHERE full_at > level ORDER BY r LIMIT 1) AS f ON true),
+x AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+c AS (SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+n AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND before + size / 2 <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM c)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM n
+"""

@@ -95,5 +95,12 @@ class Slices:
         return df.join(self.hot, self.keys, "left").withColumn("slice", F.explode(every)).drop("slices")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever file system Spark finds it."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

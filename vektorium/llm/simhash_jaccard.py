@@ -175,7 +175,7 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     first = cut(candidates(classes.withColumn("comp", F.lit(0).cast("long")), False).groupBy("v", F.when(F.col("v").isNull(), F.col("u")).alias("alone")).agg(F.min(F.struct("bits", "u")).alias("m")))
     nearest = first.where("v IS NOT NULL").select(F.col("m.u").alias("u"), "v")
     touched = cut(first.select(F.coalesce("v", "alone").alias("c")).distinct().join(classes, "c"))
-    texts = docs.join(touched.select("rep").distinct(), F.col("doc_id").cast("long") == F.col("rep"), "left_semi").select("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(touched.select("rep").distinct(), "rep", "left_semi").select("text")
     held = cut(texts.mapInArrow(sets, "c long, x binary").dropDuplicates(["c"]))
     links = cut(verified(nearest, held))
     comp = connected_components(links)
