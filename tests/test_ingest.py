@@ -98,3 +98,10 @@ def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,title,abstract\n1,"a ""b""\nc",\n2,NA,null\n')
     got = [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv"), ["id", "title", "abstract", "full_text"]).orderBy("id").collect()]
     assert got == [("1", 'a "b"\nc', "", ""), ("2", "NA", "null", "")]
+
+
+def test_heading_lines():
+    for line, name in (("Introduction", "introduction"), ("  2.1 Methods ", "methods"), ("IV. RESULTS", "results"), ("(3) related work", "related work"), ("3) Discussion", "discussion"), ("1: abstract", "abstract"), ("2 - references", "references"), ("( ii ) background", "background")):
+        assert T.heading_of(line) == name, line
+    for line in ("1.Introduction", "1Introduction", "Introduction to it", "the results", "", "4", "results.", "1.) introduction", "a. methods", ". methods", "related  work", "xiv"):
+        assert T.heading_of(line) is None, line

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import text as T
 
 DIM = 64
@@ -65,7 +66,7 @@ def chunked(docs: DataFrame, key: str = "doc_id", id_col: str = "id", title: str
     before = F.row_number().over(T.W.partitionBy("doc_idx").orderBy("s", "c")) - 1
     rows = rows.withColumn("chunk_index", before)
     rows = rows.withColumn("embed_text", T.embed_template(F.col("title"), F.col("section"), F.col("chunk")))
-    out = T.numbered(rows, "doc_idx", ["chunk_index"], "row")
+    out = T.numbered(rows.persist(), "doc_idx", ["chunk_index"], "row")  # cut once; lost blocks are cut again
     return out.select("row", "doc_idx", "id", "title", "section", "chunk_index", "embed_text")
 
 
@@ -73,3 +74,16 @@ def ingest(docs: DataFrame, make: Callable = hashing, **options) -> DataFrame:
     """chunked() with embedding array<float>; vec_id repeats row. Write it with write_vectors and write_rowmeta."""
     rows = chunked(docs, **options)
     return rows.withColumn("embedding", embed(F.col("embed_text"), make)).withColumn("vec_id", F.col("row"))
+
+
+def ingest_csv(spark: SparkSession, csv: str, vectors: str, meta: str, make: Callable = hashing, key: str = "doc_id", columns: tuple = ("id", "title", "abstract", *T.FULL_TEXT), **options) -> DataFrame:
+    """From CSV to a binary file of vectors and JSON lines of the rows' metadata; (rows, docs, dim) of what was written.
+
+    The key column holds whole numbers, by which documents are numbered; columns that are not there count as empty.
+    """
+    docs = files.read_csv(spark, csv, [key, *columns])
+    rows = ingest(docs.withColumn(key, F.col(key).cast("long")), make, key=key, **options).persist()
+    files.write_vectors(rows, vectors)
+    files.write_rowmeta(rows, meta)
+    out = rows.agg(F.count("*").alias("rows"), F.countDistinct("doc_idx").alias("docs"), F.max(F.size("embedding")).alias("dim"))
+    return spark.createDataFrame(out.collect(), out.schema)

@@ -15,6 +15,12 @@ def build_ground_truth(base: DataFrame, queries: DataFrame, k: int, metric: str
     return exact_search(base, queries, k, metric, kernel=kernel)
 
 
+def hits(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id) of the truth that the result has."""
+    got = result.where(F.col("rank") <= k).select("query_id", "vec_id")
+    return truth.where(F.col("rank") <= k).select("query_id", "vec_id").join(got, ["query_id", "vec_id"], "left_semi")
+
+
 def recall_at_k(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, hits, recall) for each query of truth; a query without results has 0."""
     want = truth.where(F.col("rank") <= k).select("query_id", "vec_id")

@@ -120,7 +120,7 @@ _SHARD = "shard int, m int, dim int, ids binary, x binary, links binary"
 
 
 class HnswIndex:
-    """shards: one row for each graph."""
+    """shards: one row for each graph, kept once built."""
 
     def __init__(self, shards: DataFrame):
         self.shards = shards
@@ -140,7 +140,7 @@ class HnswIndex:
                 g.insert(node, int(-math.log(1 - u) / math.log(m)), ef_construction)
             return pa.table({"shard": pa.array([shard], pa.int32()), "m": pa.array([m], pa.int32()), "dim": pa.array([d], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()]), "x": pa.array([x.astype("<f4").tobytes()]), "links": pa.array([g.flat().tobytes()])})
 
-        return cls(rows.groupBy("shard").applyInArrow(run, _SHARD))
+        return cls(rows.groupBy("shard").applyInArrow(run, _SHARD).persist())
 
     def save(self, path: str) -> None:
         self.shards.write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...functions import kernels
 from ..search import BLOCK, TILE, best
 from .kmeans import lloyd
-from .store import assigned, load_model, packed, probed, save_model
+from .store import SPREAD, assigned, by_list, load_model, meeting, packed, probed, pruned, save_model
 
 
 class IvfIndex:
@@ -21,24 +21,24 @@ class IvfIndex:
 
     @classmethod
     def build(cls, base: DataFrame, nlist: int = 4096, train: int | None = 50_000, steps: int = 2) -> IvfIndex:
-        """Centroids from the rows with ids below `train`; every row is listed."""
+        """Centroids from the rows with ids below `train`; every row is listed. The lists are kept for the searches that follow."""
         centroids = lloyd(base.select("vec_id", "embedding"), nlist, steps, train)
-        return cls(centroids, assigned(base, centroids))
+        return cls(centroids, assigned(base, centroids).persist())
 
     def add(self, rows: DataFrame) -> IvfIndex:
         """The index with more rows, assigned to the same centroids."""
         return IvfIndex(self.centroids, self.lists.unionByName(assigned(rows, self.centroids)))
 
     def save(self, path: str) -> None:
-        """Lists are laid out by list_id, so a search reads the probed folders only."""
+        """Lists are laid out in folders by list_id; a search of the loaded index reads the probed ones only."""
         save_model(self.lists.sparkSession, {"centroids": self.centroids}, f"{path}/model")
-        self.lists.repartition("list_id", F.pmod(F.xxhash64("vec_id"), F.lit(8))).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        by_list(self.lists).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
 
     @staticmethod
     def append(path: str, rows: DataFrame) -> None:
         """Add rows to a saved index."""
         centroids = load_model(rows.sparkSession, f"{path}/model")["centroids"]
-        assigned(rows, centroids).write.mode("append").partitionBy("list_id").parquet(f"{path}/lists")
+        by_list(assigned(rows, centroids)).write.mode("append").partitionBy("list_id").parquet(f"{path}/lists")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IvfIndex:
@@ -47,16 +47,18 @@ class IvfIndex:
     def list_sizes(self) -> DataFrame:
         return self.lists.groupBy("list_id").agg(F.count("*").alias("n"))
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = 16, metric: str = "l2") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, nprobe: int = 16, metric: str = "l2", spread: int = SPREAD) -> DataFrame:
         """(query_id, rank, vec_id, dist or score): the best k in the nprobe lists nearest to each query.
 
-        Packed parts of lists meet packed queries by an equi-join on list_id; a long list is many parts.
+        Packed parts of lists meet packed queries by an equi-join on list_id; a long list is many parts, dealt out
+        to ``spread`` tasks, to each of which the queries go. Only lists that some query probes are scanned.
         """
         d = self.centroids.shape[1]
         value = "score" if metric == "dot" else "dist"
-        probes = probed(queries, self.centroids, nprobe).repartition("list_id")
-        blocks = packed(probes, BLOCK, [("query_id", "<i8", 0), ("q", "<f8", d)])
-        tiles = packed(self.lists.select(F.col("list_id").cast("int"), F.col("vec_id").cast("long"), "embedding"), TILE, [("vec_id", "<i8", 0), ("embedding", "<f4", d)])
+        probes = probed(queries, self.centroids, nprobe)
+        lists = pruned(self.lists, probes, nprobe < len(self.centroids))
+        blocks = packed(probes.repartition("list_id"), BLOCK, [("query_id", "<i8", 0), ("q", "<f8", d)])
+        tiles = packed(lists.select(F.col("list_id").cast("int"), F.col("vec_id").cast("long"), "embedding"), TILE, [("vec_id", "<i8", 0), ("embedding", "<f4", d)])
 
         def run(batches):
             for b in batches:
@@ -64,4 +66,4 @@ class IvfIndex:
                     i, j, v = kernels.block_topk(metric, np.frombuffer(x, "<f4").reshape(-1, d).astype(np.float64), np.frombuffer(q).reshape(-1, d), k)
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_ids, "<i8")[i]), pa.array(np.frombuffer(ids, "<i8")[j]), pa.array(v)], ["query_id", "vec_id", value])
 
-        return best(tiles.join(blocks, "list_id").mapInArrow(run, f"query_id long, vec_id long, {value} double"), k, metric, value)
+        return best(meeting(tiles, blocks, spread).mapInArrow(run, f"query_id long, vec_id long, {value} double"), k, metric, value)

@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from ...functions import kernels
 from ..search import BLOCK, TILE, best, candidate_depth, refine
 from .kmeans import local_kmeans
-from .store import load_model, nearest_lists, packed, probed, save_model
+from .store import SPREAD, by_list, load_model, meeting, nearest_lists, packed, probed, pruned, save_model
 
-TRAIN = 65_536
+TRAIN = 200_000
 
 
 def train_codebooks(x: np.ndarray, m: int, bits: int, steps: int = 10, seed: int = 42) -> np.ndarray:
@@ -99,7 +99,7 @@ class IvfPqIndex:
 
     @classmethod
     def build(cls, base: DataFrame, nlist: int = 4096, m: int = 48, bits: int = 8, train: int = TRAIN, rotate: bool = False, rounds: int = 25, steps: int = 10, seed: int = 42) -> IvfPqIndex:
-        """Trained on the `train` rows of the smallest ids (the only rows that reach the driver); every row is coded."""
+        """Trained on the `train` rows of the smallest ids (the only rows that reach the driver); every row is coded, and the codes kept."""
         rows = base.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).orderBy("vec_id").limit(train).toArrow()
         x = kernels.matrix(rows["x"])
         r = learn_rotation(x, m, bits, rounds, seed) if rotate else np.eye(x.shape[1])
@@ -107,7 +107,7 @@ class IvfPqIndex:
         centroids = local_kmeans(y, nlist, steps, seed)
         residual = y - centroids[nearest_lists(y, centroids, 1)[0][:, 0]]
         model = {"centroids": centroids, "codebooks": train_codebooks(residual, m, bits, steps, seed), "rotation": r}
-        return cls(model, cls.coded(base, model))
+        return cls(model, cls.coded(base, model).persist())
 
     @staticmethod
     def coded(base: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -127,19 +127,20 @@ class IvfPqIndex:
 
     def save(self, path: str) -> None:
         save_model(self.lists.sparkSession, self.model, f"{path}/model")
-        self.lists.repartition("list_id", F.pmod(F.xxhash64("vec_id"), F.lit(8))).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        by_list(self.lists).write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IvfPqIndex:
         return cls(load_model(spark, f"{path}/model"), spark.read.parquet(f"{path}/lists"))
 
-    def candidates(self, queries: DataFrame, k: int, nprobe: int = 16) -> DataFrame:
+    def candidates(self, queries: DataFrame, k: int, nprobe: int = 16, spread: int = SPREAD) -> DataFrame:
         """(query_id, rank, vec_id, dist): the best k by coded distance in the probed lists."""
         d, m = self.model["centroids"].shape[1], len(self.model["codebooks"])
         sent = self.lists.sparkSession.sparkContext.broadcast(self.model)
-        probes = probed(queries, self.model["centroids"], nprobe, self.model["rotation"]).repartition("list_id")
-        blocks = packed(probes, BLOCK, [("query_id", "<i8", 0), ("q", "<f8", d)])
-        rows = self.lists.select(F.col("list_id").cast("int"), "vec_id", F.col("codes").cast("array<double>"))
+        probes = probed(queries, self.model["centroids"], nprobe, self.model["rotation"])
+        lists = pruned(self.lists, probes, nprobe < len(self.model["centroids"]))
+        blocks = packed(probes.repartition("list_id"), BLOCK, [("query_id", "<i8", 0), ("q", "<f8", d)])
+        rows = lists.select(F.col("list_id").cast("int"), "vec_id", F.col("codes").cast("array<double>"))
         tiles = packed(rows, TILE, [("vec_id", "<i8", 0), ("codes", "<i2", m)])
 
         def run(batches):
@@ -154,7 +155,7 @@ class IvfPqIndex:
                         out.append((np.full(len(pick), q_id), ids[pick], dist[pick]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["query_id", "vec_id", "dist"])
 
-        return best(tiles.join(blocks, "list_id").mapInArrow(run, "query_id long, vec_id long, dist double"), k, "l2", "dist")
+        return best(meeting(tiles, blocks, spread).mapInArrow(run, "query_id long, vec_id long, dist double"), k, "l2", "dist")
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 16, refine_k: int = 0, base: DataFrame | None = None) -> DataFrame:
         """candidates(), ranked again by exact distance to base where refine_k > 0."""

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from ...functions import kernels
 
 
+SPREAD = 4
+
+
 def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, n) numbers of the nearest centroids and their exact squared distances; ties go to the smaller number."""
     n = min(n, len(centroids))
@@ -72,6 +75,26 @@ def packed(rows: DataFrame, size: int, fields: list[tuple[str, str, int]]) -> Da
     return rows.select("list_id", *names).sortWithinPartitions("list_id").mapInArrow(run, "list_id int, " + ", ".join(f"{n} binary" for n in names))
 
 
+def by_list(lists: DataFrame, parts: int = 8) -> DataFrame:
+    """Dealt by list and one of a few parts of it, so that each list gets a few files and a long one no single writer."""
+    return lists.repartition("list_id", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+
+
+def pruned(lists: DataFrame, probes: DataFrame, some: bool) -> DataFrame:
+    """Those lists that a query probes; where they lie in folders, the others are not read. The driver gets no more numbers than there are lists."""
+    if not some:
+        return lists
+    wanted = [r[0] for r in probes.select("list_id").distinct().collect()]
+    return lists.where(F.col("list_id").isin(wanted))
+
+
+def meeting(tiles: DataFrame, blocks: DataFrame, spread: int) -> DataFrame:
+    """Tiles and blocks of the same list; a list's tiles are dealt out to `spread` tasks, its blocks go to each of them."""
+    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(spread)).cast("int"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return tiles.join(blocks, ["list_id", "part"])
+
+
 def probed(queries: DataFrame, centroids: np.ndarray, nprobe: int, rotation: np.ndarray | None = None) -> DataFrame:
     """(query_id, list_id, q): one row for each query and list that it looks into."""
     sent = queries.sparkSession.sparkContext.broadcast((centroids, rotation))

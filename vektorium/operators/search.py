@@ -47,12 +47,13 @@ def _check(base: DataFrame, queries: DataFrame, base_vec: str) -> int | None:
     return d
 
 
-def exact_search(base: DataFrame, queries: DataFrame, k: int, metric: str = "dot", dtype: str = "float32", kernel: str = "hof", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def exact_search(base: DataFrame, queries: DataFrame, k: int, metric: str = "dot", dtype: str = "float32", kernel: str = "hof", broadcast_bytes: int = BROADCAST_BYTES, digits: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score or dist): the k nearest rows of base for each of queries(query_id, q).
 
     base has (vec_id, embedding), or (vec_id, codes, scale) with dtype int8, or (vec_id, bits) with
     dtype float16. k = 0 gives no rows, k over the size of base gives all of it; an empty base or
-    another number of dimensions raises.
+dtype float16. k = 0 gives no rows, k over the size of base gives all of it; an empty base or
+    another number of dimensions raises. digits: scores are rounded so before they are ranked.
     """
     if k < 0:
         raise ValueError("k >= 0")
@@ -65,23 +66,25 @@ def exact_search(base: DataFrame, queries: DataFrame, k: int, metric: str = "dot
     d = _check(base, queries, name)
     n = queries.count()
     small = n * d * 8 <= broadcast_bytes
+    rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    room = kernels.NEAR if digits is None else 2 * 10.0**-digits
     if kernel == "hof" and small and k <= 1000:
         scale = F.col("scale") if dtype == "int8" else None
         pairs = base.crossJoin(F.broadcast(queries.select("query_id", "q")))
-        return best(pairs.select("query_id", "vec_id", vector.score(metric, dtype, "q", name, scale).alias(value)), k, metric, value)
+        return best(pairs.select("query_id", "vec_id", rounded(vector.score(metric, dtype, "q", name, scale)).alias(value)), k, metric, value)
     if kernel not in ("hof", "numpy"):
         raise ValueError("kernel is 'hof' or 'numpy'")
     plain = base.select("vec_id", F.col(name).cast("array<float>").alias("x"), (F.col("scale") if dtype == "int8" else F.lit(1.0)).cast("double").alias("scale"))
-    scored = _broadcast_blocks(plain, queries, k, metric, d, dtype) if small else _tiles_and_blocks(plain, queries, k, metric, d, dtype)
-    return best(scored.withColumnRenamed("value", value), k, metric, value)
+    scored = (_broadcast_blocks if small else _tiles_and_blocks)(plain, queries, k, metric, d, dtype, room)
+    return best(scored.select("query_id", "vec_id", rounded(F.col("value")).alias(value)), k, metric, value)
 
 
-def _scored(x: np.ndarray, scale: np.ndarray, q: np.ndarray, k: int, metric: str, dtype: str):
+def _scored(x: np.ndarray, scale: np.ndarray, q: np.ndarray, k: int, metric: str, dtype: str, room: float):
     if dtype != "int8":
-        return kernels.block_topk(metric, x, q, k)
+        return kernels.block_topk(metric, x, q, k, room)
     if metric == "l2":  # decoded in single precision
-        return kernels.block_topk(metric, (x.astype(np.float32) * scale[:, None].astype(np.float32)).astype(np.float64), q, k)
-    i, j, _ = kernels.block_topk(metric, x * scale[:, None], q, k)
+        return kernels.block_topk(metric, (x.astype(np.float32) * scale[:, None].astype(np.float32)).astype(np.float64), q, k, room)
+    i, j, _ = kernels.block_topk(metric, x * scale[:, None], q, k, room)
     return i, j, kernels.exact(metric, x[j], q[i]) * scale[j]
 
 
@@ -93,7 +96,7 @@ def _batch(ids, vec_ids, out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(vec_ids[j], pa.int64()), pa.array(v, pa.float64())], ["query_id", "vec_id", "value"])
 
 
-def _broadcast_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str, d: int, dtype: str) -> DataFrame:
+def _broadcast_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str, d: int, dtype: str, room: float) -> DataFrame:
     t = queries.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).toArrow()
     sent = base.sparkSession.sparkContext.broadcast((t["query_id"].to_numpy(), kernels.matrix(t["q"], d)))
 
@@ -102,12 +105,12 @@ def _broadcast_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str,
         for b in batches:
             x, scale, vec_ids = kernels.matrix(b.column(1), d), b.column(2).to_numpy(), b.column(0).to_numpy()
             for at in range(0, len(ids), BLOCK):
-                yield _batch(ids[at : at + BLOCK], vec_ids, _scored(x, scale, q[at : at + BLOCK], k, metric, dtype))
+                yield _batch(ids[at : at + BLOCK], vec_ids, _scored(x, scale, q[at : at + BLOCK], k, metric, dtype, room))
 
     return base.select(F.col("vec_id").cast("long"), "x", "scale").mapInArrow(run, _OUT)
 
 
-def _tiles_and_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str, d: int, dtype: str) -> DataFrame:
+def _tiles_and_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str, d: int, dtype: str, room: float) -> DataFrame:
     """Tiles of base against blocks of queries, each a row of packed arrays."""
 
     def pack(size, names):
@@ -126,7 +129,7 @@ def _tiles_and_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str,
     def run(batches):
         for b in batches:
             for ids, x, scale, q_ids, q in zip(*(c.to_pylist() for c in b.columns)):
-                out = _scored(np.frombuffer(x).reshape(-1, d), np.frombuffer(scale), np.frombuffer(q).reshape(-1, d), k, metric, dtype)
+                out = _scored(np.frombuffer(x).reshape(-1, d), np.frombuffer(scale), np.frombuffer(q).reshape(-1, d), k, metric, dtype, room)
                 yield _batch(np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8"), out)
 
     return tiles.crossJoin(blocks).mapInArrow(run, _OUT)

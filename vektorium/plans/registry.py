@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import vector
 from ..ingest import embed as E
 from ..ingest import text as T
-from ..operators import evaluate, search, tables
+from ..operators import evaluate, programs, search, tables
 from ..operators.index import HnswIndex, IvfIndex, IvfPqIndex, pq
 from ..operators.index.kmeans import lloyd, seeds
 from ..sources import files
+from ..streaming import append
 
-K, NQ, NLIST, NPROBE, M = 10, 20, 16, 4, 8
+K, NLIST, NPROBE, M, WORDS, BITS, DEPTH = 10, 16, 12, 32, 64, 6, 50
 _ALL: dict[str, tuple] = {}
 
 
@@ -48,15 +49,15 @@ def _base(spark, d) -> DataFrame:
     return _table(spark, d, "embeddings").select("vec_id", "embedding")
 
 
-def _queries(spark, d, n: int = NQ) -> DataFrame:
-    return _base(spark, d).where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-
-
-def _twentieth(spark, d) -> DataFrame:
+def _queries(spark, d) -> DataFrame:
     """Every row whose id is divisible by 20, so that the queries grow with the table."""
     return _base(spark, d).where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
+def _every(spark, d) -> DataFrame:
+    return _base(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint place (a local one where none is set and the master is local)."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or None
@@ -88,8 +89,8 @@ def _best(scored: str, k: int, value: str, down: bool) -> str:
     return f"SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, {value} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS r FROM ({scored})) WHERE r <= {k}"
 
 
-def _top(score: str, value: str, down: bool, n: int = NQ, k: int = K) -> str:
-    return _best(f"SELECT q.vec_id AS query_id, e.vec_id, {score} AS {value} FROM embeddings AS q, embeddings AS e WHERE q.vec_id < {n}", k, value, down)
+def _top(score: str, value: str, down: bool, which: str = "q.vec_id % 20 = 0", k: int = K) -> str:
+    return _best(f"SELECT q.vec_id AS query_id, e.vec_id, {score} AS {value} FROM embeddings AS q, embeddings AS e WHERE {which}", k, value, down)
 
 
 _DOT = _dot("q.embedding", "e.embedding")
@@ -99,7 +100,9 @@ _ABS = "list_max(list_transform(embedding, lambda x: abs(x)))"
 _I8 = f"""
 i8s AS (SELECT vec_id, embedding, CASE WHEN {_ABS} > 0 THEN CAST({_ABS} / 127::FLOAT AS FLOAT) ELSE 1::FLOAT END AS scale FROM embeddings),
 i8 AS (SELECT vec_id, scale, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round_even(CAST(CAST(x * CAST(1::FLOAT / scale AS FLOAT) AS FLOAT) AS DOUBLE), 0))) AS TINYINT)) AS codes FROM i8s)"""
-_I8_TOP = _best(f"SELECT q.vec_id AS query_id, i8.vec_id, {_dot('q.embedding', 'i8.codes')} * CAST(i8.scale AS DOUBLE) AS score FROM embeddings AS q, i8 WHERE q.vec_id < {NQ}", "{k}", "score", True)
+_ULP = "pow(2.0, greatest(floor(log2(abs(x::DOUBLE))), -14) - 10)"
+_HALF = f"list_transform({{0}}, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x::DOUBLE / {_ULP}, 0) * {_ULP} END)"  # 11 bits, halves to even
+_I8_TOP = _best(f"SELECT q.vec_id AS query_id, i8.vec_id, {_dot('q.embedding', 'i8.codes')} * CAST(i8.scale AS DOUBLE) AS score FROM embeddings AS q, i8 WHERE q.vec_id % 20 = 0", "{k}", "score", True)
 
 
 def _kmeans_sql(steps: int = 2) -> str:
@@ -117,12 +120,12 @@ def _assign_sql(c: str) -> str:
 
 
 def _ivf_sql(nprobe: int) -> str:
-    probes = f"SELECT query_id, list_id FROM (SELECT q.vec_id AS query_id, k.list_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_l2('q.embedding', 'k.c')}, k.list_id) AS r FROM embeddings AS q, c2 AS k WHERE q.vec_id < {NQ}) WHERE r <= {nprobe}"
+    probes = f"SELECT query_id, list_id FROM (SELECT q.vec_id AS query_id, k.list_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_l2('q.embedding', 'k.c')}, k.list_id) AS r FROM embeddings AS q, c2 AS k WHERE q.vec_id % 20 = 0) WHERE r <= {nprobe}"
     scored = f"SELECT p.query_id, e.vec_id, {_L2} AS dist FROM ({probes}) AS p JOIN lists USING (list_id) JOIN embeddings AS e ON e.vec_id = lists.vec_id JOIN embeddings AS q ON q.vec_id = p.query_id"
     return f"WITH {_kmeans_sql()}, lists AS ({_assign_sql('c2')}), ivf AS ({_best(scored, K, 'dist', False)})"
 
 
-_WORDS = f"SELECT CAST(vec_id AS INTEGER) AS code, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < {NLIST}"
+_WORDS = f"SELECT CAST(vec_id AS INTEGER) AS code, embedding::DOUBLE[] AS w FROM embeddings WHERE vec_id < {WORDS}"
 _PART = "list_slice({v}, p * {s} + 1, p * {s} + {s})"
 
 
@@ -131,7 +134,7 @@ def _pq_sql(dim: int = 64) -> str:
     a, b = _PART.format(v="e.embedding::DOUBLE[]", s=s), _PART.format(v="w.w", s=s)
     q = _PART.format(v="q.embedding::DOUBLE[]", s=s)
     codes = f"SELECT vec_id, CAST(p AS INTEGER) AS part, code FROM (SELECT e.vec_id, p, code, row_number() OVER (PARTITION BY e.vec_id, p ORDER BY {_l2(a, b)}, code) AS r FROM embeddings AS e, words AS w, generate_series(0, {M - 1}) AS g(p)) WHERE r = 1"
-    table = f"SELECT q.vec_id AS query_id, p AS part, code, {_l2(q, b)} AS d FROM embeddings AS q, words AS w, generate_series(0, {M - 1}) AS g(p) WHERE q.vec_id < {NQ}"
+    table = f"SELECT q.vec_id AS query_id, p AS part, code, {_l2(q, b)} AS d FROM embeddings AS q, words AS w, generate_series(0, {M - 1}) AS g(p) WHERE q.vec_id % 20 = 0"
     scored = "SELECT query_id, vec_id, round(sum(d), 9) AS dist FROM codes JOIN dist_table USING (part, code) GROUP BY 1, 2"
     return f"WITH words AS ({_WORDS}), codes AS ({codes}), dist_table AS ({table}), adc AS ({scored})"
 
@@ -167,10 +170,10 @@ def exact_topk_numpy(spark, d):
     return search.exact_search(_base(spark, d), _queries(spark, d), K, "dot", kernel="numpy")
 
 
-@query(_top(_DOT, "score", True, n=1000))
+@query(_top(_DOT, "score", True, "true"))
 def batched_topk_dot(spark, d):
-    """All vectors with ids under 1000 as queries, by block products."""
-    return search.exact_search(_base(spark, d), _queries(spark, d, 1000), K, "dot", kernel="numpy")
+    """Every vector as a query, by block products."""
+    return search.exact_search(_base(spark, d), _every(spark, d), K, "dot", kernel="numpy")
 
 
 @query(_TOP_L2)
@@ -179,9 +182,9 @@ def tiled_topk_l2(spark, d):
     return _rounded(search.exact_search(_base(spark, d), _queries(spark, d), K, "l2", kernel="numpy", broadcast_bytes=0), "dist")
 
 
-@query(_top(_DOT, "score", True, n=1))
+@query(_top(_DOT, "score", True, "q.vec_id = (SELECT min(vec_id) FROM embeddings)"))
 def single_query_topk(spark, d):
-    return search.search_first_query(_base(spark, d), _queries(spark, d), K)
+    return search.search_first_query(_base(spark, d), _every(spark, d), K)
 
 
 # ---- vector functions and tables
@@ -242,14 +245,14 @@ def int8_topk_dot(spark, d):
     return search.exact_search(tables.quantize_int8(_base(spark, d)), _queries(spark, d), K, "dot", "int8")
 
 
-@query(None)
+@query(f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, CAST(value AS FLOAT) AS value FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest({_HALF.format('embedding')}) AS value FROM embeddings)")
 def f16_convert(spark, d):
-    return tables.from_float16(tables.to_float16(_base(spark, d)))
+    return tables.from_float16(tables.to_float16(_base(spark, d))).select("vec_id", F.posexplode("embedding").alias("dim", "value"))
 
 
-@query(None)
+@query(_best(f"SELECT q.vec_id AS query_id, h.vec_id, {_dot('q.embedding', 'h.x')} AS score FROM embeddings AS q, (SELECT vec_id, {_HALF.format('embedding')} AS x FROM embeddings) AS h WHERE q.vec_id % 20 = 0", K, "score", True))
 def f16_topk_dot(spark, d):
-    return search.exact_search(tables.to_float16(_base(spark, d)), _twentieth(spark, d), K, "dot", "float16", kernel="numpy")
+    return search.exact_search(tables.to_float16(_base(spark, d)), _queries(spark, d), K, "dot", "float16", kernel="numpy")
 
 
 # ---- approximate search
@@ -296,11 +299,11 @@ def ivf_saved_search(spark, d):
     return _rounded(IvfIndex.load(spark, path).search(_queries(spark, d), K, NPROBE), "dist")
 
 
-@query(_best(f"SELECT q.vec_id AS query_id, e.vec_id, {_L2} AS dist FROM embeddings AS q, embeddings AS e WHERE q.vec_id < {NQ} AND (e.vec_id * 7 + q.vec_id) % 5 = 0", K, "dist", False))
+@query(f"WITH cand AS ({_top(_DOT, 'score', True, k=40)}) " + _best(f"SELECT cand.query_id, cand.vec_id, {_L2} AS dist FROM cand JOIN embeddings AS q ON q.vec_id = cand.query_id JOIN embeddings AS e ON e.vec_id = cand.vec_id", K, "dist", False))
 def refine_candidates(spark, d):
+    """The 40 best by dot product, ranked again by distance."""
     base, q = _base(spark, d), _queries(spark, d)
-    pairs = base.select("vec_id").crossJoin(F.broadcast(q.select("query_id"))).where("(vec_id * 7 + query_id) % 5 = 0")
-    return _rounded(search.refine(pairs, base, q, K), "dist")
+    return _rounded(search.refine(search.exact_search(base, q, 40, "dot", kernel="numpy"), base, q, K), "dist")
 
 
 @query(f"WITH {_I8}, cand AS ({_I8_TOP.format(k=30)}) " + _best(f"SELECT cand.query_id, cand.vec_id, {_L2} AS dist FROM cand JOIN embeddings AS q ON q.vec_id = cand.query_id JOIN embeddings AS e ON e.vec_id = cand.vec_id", K, "dist", False))
@@ -313,7 +316,7 @@ def int8_refine(spark, d):
 
 def _codebooks(spark, d) -> np.ndarray:
     """Codewords by a rule that SQL can restate: the parts of the first vectors."""
-    x = seeds(_base(spark, d), NLIST)
+    x = seeds(_base(spark, d), WORDS)
     return np.stack(np.split(x, M, axis=1))
 
 
@@ -329,27 +332,88 @@ def pq_adc_topk(spark, d):
     return pq.adc_search(pq.pq_encode(_base(spark, d), books), books, _queries(spark, d), K)
 
 
-@query(_pq_sql() + f", cand AS ({_best('SELECT * FROM adc', 50, 'dist', False)}) " + _best(f"SELECT cand.query_id, cand.vec_id, {_L2} AS dist FROM cand JOIN embeddings AS q ON q.vec_id = cand.query_id JOIN embeddings AS e ON e.vec_id = cand.vec_id", K, "dist", False))
+@query(_pq_sql() + f", cand AS ({_best('SELECT * FROM adc', DEPTH, 'dist', False)}) " + _best(f"SELECT cand.query_id, cand.vec_id, {_L2} AS dist FROM cand JOIN embeddings AS q ON q.vec_id = cand.query_id JOIN embeddings AS e ON e.vec_id = cand.vec_id", K, "dist", False))
 def pq_refine(spark, d):
     base, q, books = _base(spark, d), _queries(spark, d), _codebooks(spark, d)
-    cand = pq.adc_search(pq.pq_encode(base, books), books, q, search.candidate_depth(K, 50))
+    cand = pq.adc_search(pq.pq_encode(base, books), books, q, search.candidate_depth(K, DEPTH))
     return _rounded(search.refine(cand, base, q, K), "dist")
 
 
 @query(None)
 def ivfpq_search(spark, d):
-    return IvfPqIndex.build(_base(spark, d), NLIST, M, 4).search(_twentieth(spark, d), K, NPROBE)
+    base = _base(spark, d)
+    return IvfPqIndex.build(base, NLIST, M, BITS).search(_queries(spark, d), K, NPROBE, DEPTH, base)
 
 
 @query(None)
 def opq_search(spark, d):
     base = _base(spark, d)
-    return IvfPqIndex.build(base, NLIST, M, 4, rotate=True, rounds=5).search(_twentieth(spark, d), K, NPROBE, 50, base)
+    return IvfPqIndex.build(base, NLIST, M, BITS, rotate=True, rounds=5).search(_queries(spark, d), K, NPROBE, DEPTH, base)
 
 
 @query(None)
 def hnsw_search(spark, d):
-    return HnswIndex.build(_base(spark, d), 8, 64).search(_twentieth(spark, d), K, 32)
+    return HnswIndex.build(_base(spark, d), 8, 64).search(_queries(spark, d), K, 48)
+
+
+_QUALITY = f"SELECT count(*) AS queries, CAST(count(*) * {K} AS BIGINT) AS rows, true AS distances_exact, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0"
+
+
+def _quality(spark, d, got: DataFrame) -> DataFrame:
+    """(queries, rows, distances_exact, recall_reached): k rows for each query, distances as exact ones, mean recall of 0.9 or more."""
+    base, q = _base(spark, d), _queries(spark, d)
+    truth = evaluate.build_ground_truth(base, q, K, "l2")
+    found = got.select("query_id", "rank", "vec_id", "dist").persist()
+    again = found.join(base, "vec_id").join(q, "query_id").select((F.abs(vector.l2_squared("q", "embedding") - F.col("dist")) < 1e-9).alias("same"))
+    facts = found.agg(F.count("*").alias("rows")).crossJoin(again.agg(F.coalesce(F.bool_and("same"), F.lit(False)).alias("distances_exact")))  # one row each
+    recall = evaluate.mean_recall(found, truth, K).select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+    return recall.crossJoin(facts).select("queries", "rows", "distances_exact", "recall_reached")
+
+
+@query(_QUALITY)
+def hnsw_quality(spark, d):
+    return _quality(spark, d, hnsw_search(spark, d))
+
+
+@query(_QUALITY)
+def ivf_quality(spark, d):
+    return _quality(spark, d, _ivf(spark, d).search(_queries(spark, d), K, NPROBE))
+
+
+@query(_QUALITY)
+def ivfpq_quality(spark, d):
+    return _quality(spark, d, ivfpq_search(spark, d))
+
+
+@query(_QUALITY)
+def opq_quality(spark, d):
+    return _quality(spark, d, opq_search(spark, d))
+
+
+@query(_QUALITY)
+def hnsw_saved_quality(spark, d):
+    """Graphs written and read again."""
+    path = _scratch(spark, "hnsw")
+    HnswIndex.build(_base(spark, d), 8, 64).save(path)
+    return _quality(spark, d, HnswIndex.load(spark, path).search(_queries(spark, d), K, 48))
+
+
+@query(_QUALITY)
+def ivfpq_saved_quality(spark, d):
+    """Codes written by list, read again, and searched by pruned folders."""
+    path, base = _scratch(spark, "ivfpq"), _base(spark, d)
+    IvfPqIndex.build(base, NLIST, M, BITS).save(path)
+    return _quality(spark, d, IvfPqIndex.load(spark, path).search(_queries(spark, d), K, NPROBE, DEPTH, base))
+
+
+@query(f"WITH {_kmeans_sql()}, lists AS ({_assign_sql('c2')}) SELECT list_id, count(*) AS n FROM lists GROUP BY 1")
+def ivf_streamed_sizes(spark, d):
+    """Half of the vectors saved, the other half appended by a stream."""
+    path, index = _scratch(spark, "ivf"), _ivf(spark, d)
+    IvfIndex(index.centroids, index.lists.where("vec_id % 2 = 0")).save(path)
+    rows = spark.readStream.schema("vec_id long, embedding array<float>").parquet(f"{d}/embeddings.parquet*").where("vec_id % 2 = 1")
+    append.append_to_ivf(rows, path, _scratch(spark, "stream")).awaitTermination()
+    return append.with_stream(spark, path).list_sizes()
 
 
 # ---- ground truth, recall, statistics
@@ -374,6 +438,31 @@ def recall_ivf(spark, d):
     return _rounded(evaluate.mean_recall(_ivf(spark, d).search(q, K, NPROBE), truth, K), "recall")
 
 
+@query(f"WITH {_I8}, got AS ({_I8_TOP.format(k=K)}), truth AS ({_TOP_DOT}) SELECT query_id, vec_id FROM truth SEMI JOIN got USING (query_id, vec_id)")
+def recall_hits(spark, d):
+    """The rows of the ground truth that a search has found."""
+    base, q = _base(spark, d), _queries(spark, d)
+    return evaluate.hits(search.exact_search(tables.quantize_int8(base), q, K, "dot", "int8"), evaluate.build_ground_truth(base, q, K), K)
+
+
+@query(f"SELECT query_id, rank, vec_id FROM ({_TOP_DOT})")
+def truth_file(spark, d):
+    """Ground truth written as a binary file by numbers of the queries, and read again with its header checked."""
+    base, q = _base(spark, d), _queries(spark, d)
+    truth = evaluate.build_ground_truth(base, q, K).withColumn("query_id", (F.col("query_id") / 20).cast("long"))
+    path = _folder(spark, "truth") + "/truth"
+    n, dim = base.count(), search.dimension(base, "embedding")
+    files.write_truth(truth, path, dim, n)
+    return files.read_truth(spark, path, K, dim, q.count(), n).withColumn("query_id", F.col("query_id") * 20)
+
+
+@query("SELECT vec_id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS own, false AS bad FROM embeddings")
+def sql_functions(spark, d):
+    """The vector functions from SQL."""
+    vector.register_sql(spark)
+    return spark.sql("SELECT vec_id, vec_norm(embedding) AS norm, vec_dot(embedding, embedding) AS own, vec_has_nonfinite(embedding) AS bad FROM {e}", e=_base(spark, d))
+
+
 _STATS = "count(value) AS n, round(avg(value), 6) AS avg_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(1000 / avg(value), 6) AS qps"
 
 
@@ -402,10 +491,10 @@ def result_line(spark, d):
 # ---- documents
 
 
-@query("SELECT doc_id, chars FROM (SELECT doc_id, length(coalesce(text, '')) AS chars FROM documents)")
+@query("SELECT doc_id, sha256(CASE WHEN trim(coalesce(text, '')) = '' THEN 'short' ELSE text END) AS chosen FROM documents")
 def choose_text(spark, d):
     docs = _table(spark, d, "documents").withColumn("full_text", F.lit("  ")).withColumn("abstract", F.lit("short"))
-    return docs.select("doc_id", F.length(T.choose_text(docs, prefer_full=True)).cast("long").alias("chars"))
+    return docs.select("doc_id", F.sha2(T.choose_text(docs, prefer_full=True), 256).alias("chosen"))
 
 
 @query(f"SELECT item_id, regexp_replace(lower({_STRIP.format('text')}), '[\\s\\-_:]+', ' ', 'g') AS heading FROM benchmark")
@@ -413,7 +502,9 @@ def heading_normalize(spark, d):
     return _table(spark, d, "benchmark").select("item_id", T.normalize_heading(F.col("text")).alias("heading"))
 
 
-@query(None)
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_STRIP.format("coalesce(text, '')")} AS body FROM documents)
+SELECT doc_id, CAST(n AS INTEGER) AS n, section, CAST(length(body) AS INTEGER) AS chars FROM t, (VALUES (0, 'introduction'), (1, 'results')) AS s(n, section) WHERE body <> ''
+UNION ALL SELECT doc_id, 0, 'body', CAST(length({_STRIP.format("'front' || chr(10) || '1 Introduction' || chr(10) || text || chr(10) || 'IV. Results' || chr(10) || text")}) AS INTEGER) FROM t WHERE body = ''""")
 def split_sections(spark, d):
     """The documents with headings put between their lines."""
     docs = _table(spark, d, "documents")
@@ -445,26 +536,82 @@ _EMBED = """SELECT {id} AS id, b, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION
 
 @query(f"WITH q AS ({_EMBED.format(id='item_id', t='benchmark')}), e AS ({_EMBED.format(id='doc_id', t='documents')}) " + _best("SELECT q.id AS query_id, e.id AS vec_id, round(sum(q.v * e.v), 5) AS score FROM q JOIN e USING (b) GROUP BY 1, 2", K, "score", True))
 def hash_embed_topk(spark, d):
-    """All texts of benchmark against all documents; scores are rounded before they are ranked. Texts are broadcast only if they are few."""
+    """All texts of benchmark against all documents, by block products; scores are rounded before they are ranked."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), E.embed(F.col("text")).alias("embedding"))
     items = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), E.embed(F.col("text")).alias("q"))
-    small = items.count() * E.DIM * 8 <= search.BROADCAST_BYTES
-    scored = docs.crossJoin(F.broadcast(items) if small else items)
-    return search.best(scored.select("query_id", "vec_id", F.round(vector.dot("q", "embedding"), 5).alias("score")), K, "dot")
+    return search.exact_search(docs, items, K, "dot", kernel="numpy", broadcast_bytes=search.BROADCAST_BYTES, digits=5)
 
 
-@query(None)
+_META = _CHUNKS + ", n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx FROM documents) SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS row, doc_idx, doc_id::VARCHAR AS id, 'doc-' || doc_id AS title, 'abstract' AS section, CAST(chunk_index AS BIGINT) AS chunk_index FROM chunks JOIN n USING (doc_id)"
+
+
+@query(_META)
+def ingest_files(spark, d):
+    """Documents written as CSV, and from there to a file of vectors and the rows' metadata, which is read again."""
+    place = _folder(spark, "ingest")
+    docs = _table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("title"), F.coalesce("text", F.lit("")).alias("abstract"))
+    docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{place}/csv")
+    E.ingest_csv(spark, f"{place}/csv", f"{place}/vectors", f"{place}/meta")
+    meta = spark.read.schema("row long, doc_idx long, id string, title string, section string, chunk_index long").json(f"{place}/meta")
+    return meta.join(files.read_vectors(spark, f"{place}/vectors").select(F.col("vec_id").alias("row")), "row", "left_semi")
+
+
+@query("SELECT count(*) AS chunks, CAST(count(DISTINCT doc_idx) AS BIGINT) AS docs FROM (" + _META + ") WHERE doc_idx < 25")
+def ingest_max_docs(spark, d):
+    """Chunks of the first 25 documents, as asked for."""
+    docs = _table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("abstract"))
+    return E.chunked(docs, max_docs=25).agg(F.count("*").alias("chunks"), F.countDistinct("doc_idx").alias("docs"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder, below the shared checkpoint place, that driver and executors reach by the same path."""
+    place = "/" + _scratch(spark, name).removeprefix("file:").lstrip("/")
+    os.makedirs(place)
+    return place
+
+
+_ERROR = "round(sqrt(" + _l2("embedding", "back") + "), 9) AS error"
+
+
+@query(f"WITH {_I8} SELECT dtype, vec_id, {_ERROR} FROM (SELECT 'float32' AS dtype, vec_id, embedding, embedding::DOUBLE[] AS back FROM embeddings UNION ALL SELECT 'float16', vec_id, embedding, {_HALF.format('embedding')} FROM embeddings UNION ALL SELECT 'int8', i8.vec_id, embedding, list_transform(codes, lambda c: CAST(CAST(c AS FLOAT) * scale AS DOUBLE)) FROM i8 JOIN embeddings USING (vec_id))")
 def file_roundtrip(spark, d):
-    """Written as binary files of each type and read again: rows with their largest error."""
-    base = _base(spark, d)
-    place = _scratch(spark, "files").removeprefix("file:")
-    os.makedirs("/" + place.lstrip("/"))
-    out = None
+    """Written as binary files of each type and read again: each row's error."""
+    base, place, out = _base(spark, d), _folder(spark, "files"), None
     for dtype in ("float32", "float16", "int8"):
-        path = f"/{place.lstrip('/')}/{dtype}"
+        path = f"{place}/{dtype}"
         files.write_vectors(tables.quantize_int8(base) if dtype == "int8" else base, path, dtype=dtype)
         back = files.read_vectors(spark, path)
         back = tables.dequantize_int8(back) if dtype == "int8" else back.select("vec_id", "embedding")
-        err = base.join(back.withColumnRenamed("embedding", "back"), "vec_id").select(F.lit(dtype).alias("dtype"), "vec_id", F.sqrt(vector.l2_squared("embedding", "back")).alias("error"))
+        err = base.join(back.withColumnRenamed("embedding", "back"), "vec_id").select(F.lit(dtype).alias("dtype"), "vec_id", F.round(F.sqrt(vector.l2_squared("embedding", "back")), 9).alias("error"))
         out = err if out is None else out.unionByName(err)
     return out
+
+
+_EVAL = f"""SELECT count(*) AS queries, CAST({K} AS INTEGER) AS k, true AS recall_reached, true AS timed FROM embeddings WHERE vec_id % 20 = 0"""
+
+
+def _evaluated(spark, d, **options) -> DataFrame:
+    base, q = _base(spark, d), _queries(spark, d)
+    out = programs.evaluate(_ivf(spark, d), base, q, K, nprobe=NPROBE, warmup=0, **options)
+    return out.select("queries", "k", (F.col("recall") >= 0.9).alias("recall_reached"), ((F.col("avg_ms") > 0) & (F.col("p99_ms") >= F.col("p50_ms")) & (F.col("qps") > 0)).alias("timed"))
+
+
+@query(_EVAL)
+def evaluate_staged(spark, d):
+    return _evaluated(spark, d, refine_k=DEPTH, pipeline="staged")
+
+
+@query(_EVAL)
+def evaluate_interleaved(spark, d):
+    return _evaluated(spark, d, refine_k=DEPTH, pipeline="interleaved", batch=64)
+
+
+@query(_EVAL)
+def evaluate_ann_only(spark, d):
+    return _evaluated(spark, d, mode="ann_only")
+
+
+@query("SELECT count(*) AS queries, true AS timed FROM embeddings WHERE vec_id % 20 = 0")
+def bench_exact(spark, d):
+    out = programs.bench_exact(_base(spark, d), _queries(spark, d), K, batch=64, warmup=1)
+    return out.select(F.col("n").alias("queries"), ((F.col("avg_ms") > 0) & (F.col("gb_per_s") > 0)).alias("timed"))

@@ -11,22 +11,20 @@ the size of the file), in ranges of rows, one task for each range:
 32-bit ids, best first. Paths must be on a file system that driver and executors mount alike;
 tables in object stores are better kept as Parquet, the engine's native format.
 
-Writers put parts beside the target; the commit checks ids and sizes, writes the header with the
-final count, appends the parts in order and renames the file into place. A failed or repeated
-task leaves only a part that the commit or abort removes.
+Rows have a fixed size, so tasks write their ranges of rows to their places in one file beside the
+target, whose header is written first; a task that runs again writes the same bytes again. The commit
+checks that the ranges cover all ids and renames the file into place; nothing passes through the driver.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
 import struct
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -151,74 +149,68 @@ class _TruthReader(DataSourceReader):
 
 @dataclass
 class Part(WriterCommitMessage):
-    task: int
-    path: str
     first: int
     rows: int
-    dim: int
 
 
 class _VectorWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.format, self.dtype = options["path"], options.get("layout", "wide"), options.get("dtype", "float32")
-        self.overwrite, self.token = overwrite, uuid.uuid4().hex
         if self.dtype not in _NUMPY or self.format not in ("wide", "short") or (self.format == "short" and self.dtype != "float32"):
             raise ValueError("layout is 'wide' or 'short', dtype float32, float16 or int8; short files hold float32 only")
         if os.path.exists(self.path) and not overwrite:
             raise ValueError(f"{self.path} exists")
 
+        # the driver makes the file; tasks get this object with its name
+        self.rows, self.dim = int(options["rows"]), int(options["dim"])
+        if self.format == "short" and self.rows >= 1 << 32:
+            raise ValueError("short files hold fewer than 2**32 rows")
+        self.made = f"{self.path}.{uuid.uuid4().hex}"
+        if self.format == "short":
+            head = struct.pack("<III", self.rows, 0, self.dim)
+        else:
+            head = struct.pack("<QIIIIQ", VECTOR_MAGIC, VERSION, {v: k for k, v in TYPES.items()}[self.dtype], self.dim, 0, self.rows).ljust(HEADER, b"\0")
+        self.start, self.row_bytes = len(head), self.dim * np.dtype(_NUMPY[self.dtype]).itemsize
+        with open(self.made, "wb") as f:
+            f.write(head)
+            f.truncate(self.start + self.rows * (self.row_bytes + 4 * (self.dtype == "int8")))
+
     def write(self, batches):
-        task = TaskContext.get()
-        name = f"{self.path}.{self.token}.{task.partitionId()}-{task.taskAttemptId()}"
-        first, n, dim = -1, 0, 0
-        with open(name, "wb") as f, open(name + ".scales", "wb") as g:
+        first, n = -1, 0
+        with open(self.made, "r+b") as f:
             for b in batches:
                 ids = b.column(b.schema.get_field_index("vec_id")).to_numpy()
                 if not len(ids):
                     continue
                 first = int(ids[0]) if n == 0 else first
-                if (ids != np.arange(first + n, first + n + len(ids))).any():
-                    raise ValueError("ids must go up by one inside a part")
+                if (ids != np.arange(first + n, first + n + len(ids))).any() or first < 0 or first + n + len(ids) > self.rows:
+                    raise ValueError("ids must be 0, 1, ... and go up by one inside a part")
                 col = b.column(b.schema.get_field_index("codes" if self.dtype == "int8" else "embedding"))
-                lengths = np.diff(col.offsets.to_numpy())
-                dim = dim or int(lengths[0])
-                if col.null_count or (lengths != dim).any():
+                if col.null_count or (np.diff(col.offsets.to_numpy()) != self.dim).any():
                     raise ValueError("a vector is null or of another length")
+                f.seek(self.start + (first + n) * self.row_bytes)
                 f.write(col.flatten().to_numpy(zero_copy_only=False).astype(_NUMPY[self.dtype]).tobytes())
                 if self.dtype == "int8":
-                    g.write(b.column(b.schema.get_field_index("scale")).to_numpy().astype("<f4").tobytes())
+                    f.seek(self.start + self.rows * self.row_bytes + 4 * (first + n))
+                    f.write(b.column(b.schema.get_field_index("scale")).to_numpy().astype("<f4").tobytes())
                 n += len(ids)
-        return Part(task.partitionId(), name, first, n, dim)
+        return Part(first, n)
 
     def commit(self, messages):
-        parts = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.first)
-        at, dims = 0, {p.dim for p in parts}
-        for p in parts:
+        at = 0
+        for p in sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.first):
             if p.first != at:
+                self.abort(messages)
                 raise ValueError(f"ids must be 0, 1, ...; {at} is missing or repeated")
             at += p.rows
-        if not at or len(dims) != 1:
-            raise ValueError(f"nothing to write, or vectors of lengths {sorted(dims)}")
-        if self.format == "short" and at >= 1 << 32:
-            raise ValueError("short files hold fewer than 2**32 rows")
-        dim, made = dims.pop(), f"{self.path}.{self.token}"
-        with open(made, "wb") as f:
-            if self.format == "short":
-                f.write(struct.pack("<III", at, 0, dim))
-            else:
-                f.write(struct.pack("<QIIIIQ", VECTOR_MAGIC, VERSION, {v: k for k, v in TYPES.items()}[self.dtype], dim, 0, at).ljust(HEADER, b"\0"))
-            for end in ["", ".scales"][: 1 + (self.dtype == "int8")]:
-                for p in parts:
-                    with open(p.path + end, "rb") as part:
-                        shutil.copyfileobj(part, f, 1 << 20)
-        os.replace(made, self.path)
-        self.abort(messages)
+        if at != self.rows:
+            self.abort(messages)
+            raise ValueError(f"{at} rows were written, not {self.rows}")
+        os.replace(self.made, self.path)
 
     def abort(self, messages):
-        folder = os.path.dirname(self.path) or "."
-        for name in os.listdir(folder):
-            if name.startswith(f"{os.path.basename(self.path)}.{self.token}"):
-                os.remove(os.path.join(folder, name))
+        if os.path.exists(self.made):
+            os.remove(self.made)
 
 
 class VectorFiles(DataSource):
@@ -267,7 +259,10 @@ def write_vectors(df: DataFrame, path: str, layout: str = "wide", dtype: str = "
     register(df.sparkSession)
     cols = ["vec_id", "codes", "scale"] if dtype == "int8" else ["vec_id", "embedding"]
     rows = df.select(*cols).repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    rows.write.format("vectors").mode("overwrite").option("layout", layout).option("dtype", dtype).save(path)
+    n, dim = df.agg(F.count("*"), F.max(F.size(cols[1]))).first()
+    if not n or not dim or dim < 1:
+        raise ValueError("nothing to write")
+    rows.write.format("vectors").mode("overwrite").options(layout=layout, dtype=dtype, rows=n, dim=dim).save(path)
 
 
 def write_truth(truth: DataFrame, path: str, dim: int, base_rows: int, metric: int = METRIC_DOT) -> None:
@@ -278,8 +273,27 @@ def write_truth(truth: DataFrame, path: str, dim: int, base_rows: int, metric: i
     made = f"{path}.{uuid.uuid4().hex}"
     with open(made, "wb") as f:
         f.write(struct.pack("<QIIIIQQ", TRUTH_MAGIC, VERSION, metric, k, dim, queries, base_rows).ljust(HEADER, b"\0"))
-        for row in truth.orderBy("query_id", "rank").select("vec_id").toLocalIterator():
-            f.write(struct.pack("<I", row[0]))
+        f.truncate(HEADER + 4 * n)
+
+    def put(batches):
+        done = 0
+        with open(made, "r+b") as f:
+            for b in batches:
+                place = b.column(0).to_numpy() * k + b.column(1).to_numpy() - 1
+                ids = b.column(2).to_numpy().astype("<u4")
+                cuts = [0, *(np.flatnonzero(np.diff(place) != 1) + 1).tolist(), len(place)]
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    if lo < hi:
+                        f.seek(HEADER + 4 * int(place[lo]))
+                        f.write(ids[lo:hi].tobytes())
+                done += len(place)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([done], pa.int64())})
+
+    rows = truth.select(F.col("query_id").cast("long"), F.col("rank").cast("long"), F.col("vec_id").cast("long"))
+    done = rows.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(put, "rows long").agg(F.sum("rows")).first()[0]
+    if done != n:
+        os.remove(made)
+        raise ValueError(f"{done} rows were written, not {n}")
     os.replace(made, path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import IvfIndex
-from ..operators.index.store import assigned, load_model
+from ..operators.index.store import assigned, by_list, load_model
 
 
 def append_to_ivf(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -19,7 +19,7 @@ def append_to_ivf(stream: DataFrame, path: str, checkpoint: str, **trigger) -> S
     centroids = load_model(stream.sparkSession, f"{path}/model")["centroids"]
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = assigned(batch.select("vec_id", "embedding"), centroids).withColumn("batch", F.lit(number))
+        rows = by_list(assigned(batch.select("vec_id", "embedding"), centroids)).withColumn("batch", F.lit(number))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "list_id").parquet(f"{path}/stream")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
