@@ -117,20 +117,37 @@ def window_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(acc[: len(h) - n + 1].copy())
 
 
+_zstd = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(x: np.ndarray) -> bytes:
     """Compress an integer array: byte planes under zstd, so that leading zero bytes cost nothing."""
     x = np.ascontiguousarray(x)
     planes = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T if len(x) else np.zeros(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _zstd[0].compress(planes.tobytes())
 
 
 def unsqueeze(b: bytes, dtype) -> np.ndarray:
     """Inverse of squeeze."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    raw = np.frombuffer(_zstd[1].decompress(b), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
+def lookup(u: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """Places of x in the sorted distinct hashes u of so many bits, which hold all of x; from a table of first bits on."""
+    if not len(u):
+        return np.zeros(len(x), np.int64)
+    shift = np.uint64(max(0, bits - len(u).bit_length() - 1))
+    first = np.searchsorted(u, np.arange(((1 << bits) - 1 >> int(shift)) + 1, dtype=np.uint64) << shift)
+    at = first[(x >> shift).astype(np.int64)]
+    open_ = np.flatnonzero(u[at] != x)
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[u[at[open_]] != x[open_]]
+    return at
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct entries; sorting 64-bit integers is much faster than hashing them."""
     x = np.sort(x)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SPACE, column_bytes, distinct, mix, run_hashes, runs, squeeze, unsqueeze
+from .kernels import SPACE, column_bytes, distinct, lookup, mix, run_hashes, runs, squeeze, unsqueeze
 from .packs import ASKED, BITS, PACK_BYTES, Shape, answer, ask, asked, cuts_of, each_pack, make_packs, shape_for, told
 from .shared import cut, table
 
@@ -91,11 +91,7 @@ class _Lines:
             h = run_hashes(data, starts, ends)
             words = np.diff(np.append(np.searchsorted(starts, self.starts), len(starts)))
             line = np.repeat(np.arange(total), words)
-            # words with repeats: equal lines have equal sums
-            self.sum = np.zeros(total, np.uint64)
-            if len(h):
-                some = np.flatnonzero(words)
-                self.sum[some] = np.add.reduceat(mix(h + np.uint64(1)), (np.cumsum(words) - words)[some])
+            self._words = h, words
             self.line, self.tok = _sorted_pairs(line, h >> np.uint64(64 - _TOKEN), total)
             keep = np.ones(len(self.tok), bool)
             keep[1:] = (self.tok[1:] != self.tok[:-1]) | (self.line[1:] != self.line[:-1])
@@ -104,6 +100,25 @@ class _Lines:
             self.at = np.concatenate([[0], np.cumsum(self.len)])
 
 
+    def sums(self) -> np.ndarray:
+        """Of each line the sum of its words' hashes, repeats included: equal lines have equal sums."""
+        h, words = self._words
+        out = np.zeros(len(self.len), np.uint64)
+        if len(h):
+            some = np.flatnonzero(words)
+            out[some] = np.add.reduceat(mix(h + np.uint64(1)), (np.cumsum(words) - words)[some])
+        return out
+
+    def only(self, lines: np.ndarray) -> None:
+        """Leave the words of these lines only."""
+        stay = np.zeros(len(self.len), bool)
+        stay[lines] = True
+        keep = stay[self.line]
+        self.line, self.tok = self.line[keep], self.tok[keep]
+        self.len = np.where(stay, self.len, 0)
+        self.at = np.concatenate([[0], np.cumsum(self.len)])
+
+
 def _need(a, b, threshold: float):
     """Smallest overlap of sets of sizes a and b with Jaccard similarity of the threshold."""
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
@@ -113,7 +128,7 @@ def _identity(lines: _Lines) -> dict[str, np.ndarray]:
     """Parities of each token set, and the 64-bit sum of the line's word hashes as a signature. Of 256 parity bits w0 to w3, v0 and v1 are the 128 got by
     folding once and ``parity`` the 64 got by folding twice; parity, v1, w2 and w3 hold all of them."""
     some = np.flatnonzero(lines.len)
-    out = {c: np.zeros(len(lines.len), np.uint64) for c in ("parity", "v1", "w2", "w3")} | {"sig": lines.sum}
+    out = {c: np.zeros(len(lines.len), np.uint64) for c in ("parity", "v1", "w2", "w3")} | {"sig": lines.sums()}
     if len(some):
         h = mix(lines.tok.copy())
         bit, word = np.uint64(1) << (h & np.uint64(63)), h >> np.uint64(6) & np.uint64(3)
@@ -151,12 +166,11 @@ def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: n
     new[1:] = (lines.len[s][1:] != lines.len[s][:-1]) | (sig[s][1:] != sig[s][:-1])
     stands = np.zeros(len(lines.len), bool)
     stands[s[new]] = True
+    # rarest first; words of 65,535 lines or more are ordered by their hash alone
+    by_rank = np.argsort(np.minimum(total, (1 << 16) - 1).astype(np.uint16), kind="stable")
     rank = np.empty(len(u), np.int64)
-    rank[np.lexsort((u, total))] = np.arange(len(u))
-    word = np.searchsorted(u, lines.tok)
-    line, by_rarity = _sorted_pairs(lines.line, rank[word], len(lines.len))
-    by_rank = np.empty(len(u), np.int64)
-    by_rank[rank] = np.arange(len(u))
+    rank[by_rank] = np.arange(len(u))
+    line, by_rarity = _sorted_pairs(lines.line, rank[lookup(u, lines.tok, _TOKEN)], len(lines.len))
     word = by_rank[by_rarity.astype(np.int64)]
     pos = np.arange(len(line)) - lines.at[line]
     n = lines.len[line]
@@ -380,7 +394,9 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD, bits:
         def again(pack, t, both):
             lines, ids, u, total = common(t, both.filter(pc.is_valid(both["kind"])).select(["pack", "part", "kind", "n", "hit", "totals"]))
             open_ = both.filter(pc.is_null(both["kind"]))["ord"].to_numpy()
-            return _postings(pack, lines, ids, total, u, shape, threshold, open_, np.unpackbits(sent.value).astype(bool))
+            wanted = np.unpackbits(sent.value).astype(bool)
+            lines.only(distinct(lines.line[wanted[(lines.tok & np.uint64(size - 1)).astype(np.int64)]]))
+            return _postings(pack, lines, ids, total, u, shape, threshold, open_, wanted)
 
         mixed = totals.unionByName(unsure.select("pack", "ord").distinct(), allowMissingColumns=True)
         more = _dealt(each_pack(packs, again, _POSTED, mixed), shape, bits).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, True), _FOUND)
