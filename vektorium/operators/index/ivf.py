@@ -23,7 +23,7 @@ class IvfIndex:
     def build(cls, base: DataFrame, nlist: int = 4096, train: int | None = 50_000, steps: int = 2) -> IvfIndex:
         """Centroids from the rows with ids below `train`; every row is listed. The lists are kept for the searches that follow."""
         centroids = lloyd(base.select("vec_id", "embedding"), nlist, steps, train)
-        return cls(centroids, assigned(base, centroids).persist())
+        return cls(centroids, by_list(assigned(base, centroids)).persist())
 
     def add(self, rows: DataFrame) -> IvfIndex:
         """The index with more rows, assigned to the same centroids."""

@@ -107,7 +107,7 @@ class IvfPqIndex:
         centroids = local_kmeans(y, nlist, steps, seed)
         residual = y - centroids[nearest_lists(y, centroids, 1)[0][:, 0]]
         model = {"centroids": centroids, "codebooks": train_codebooks(residual, m, bits, steps, seed), "rotation": r}
-        return cls(model, cls.coded(base, model).persist())
+        return cls(model, by_list(cls.coded(base, model)).persist())
 
     @staticmethod
     def coded(base: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:

@@ -75,9 +75,9 @@ def packed(rows: DataFrame, size: int, fields: list[tuple[str, str, int]]) -> Da
     return rows.select("list_id", *names).sortWithinPartitions("list_id").mapInArrow(run, "list_id int, " + ", ".join(f"{n} binary" for n in names))
 
 
-def by_list(lists: DataFrame, parts: int = 8) -> DataFrame:
-    """Dealt by list and one of a few parts of it, so that each list gets a few files and a long one no single writer."""
-    return lists.repartition("list_id", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+def by_list(lists: DataFrame) -> DataFrame:
+    """Dealt by ranges of (list, id): a short list is whole in one task (and file), a long one is split over some."""
+    return lists.repartitionByRange("list_id", "vec_id")
 
 
 def pruned(lists: DataFrame, probes: DataFrame, some: bool) -> DataFrame:
