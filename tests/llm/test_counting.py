@@ -80,15 +80,38 @@ def brute_lines(rows, threshold=0.8):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("nearest,pack", [(4, 1 << 23), (1, 1 << 15), (0, 1 << 23)])
-def test_lines(spark, sf_dir, nearest, pack, monkeypatch):
+@pytest.mark.parametrize("nearest,pack,block", [(4, 1 << 23, 1 << 13), (1, 1 << 15, 1 << 13), (1, 1 << 23, 2), (4, 1 << 15, 3)])
+def test_lines(spark, sf_dir, nearest, pack, block, monkeypatch):
     df = data.real(spark, sf_dir)
     want = brute_lines([(r["doc_id"], r["text"]) for r in df.orderBy("doc_id").collect()])
-    monkeypatch.setattr(line_dedup, "NEAREST", max(nearest, 1))
+    monkeypatch.setattr(line_dedup, "NEAREST", nearest)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     assert data.kept(line_dedup.digests(df, pack_bytes=pack), "doc_id", "n_lines", "n_removed", "kept_sha256") == want
     assert sum(r[2] for r in want) > 0
 
 
+@pytest.mark.parametrize("nearest,block", [(4, 1 << 13), (1, 16), (1, 3)])
+def test_templated_lines(spark, nearest, block, monkeypatch):
+    """Lines of one template share their frequent words: long posting lists, and a second round."""
+    rng = np.random.default_rng(3)
+    line = lambda: " ".join([f"part{rng.integers(0, 60)}" for _ in range(4)] + "posted by the admin on this page today".split()[: rng.integers(5, 9)])
+    rows = [(i, "\n".join(line() for _ in range(6))) for i in range(150)]
+    monkeypatch.setattr(line_dedup, "NEAREST", nearest)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rounds, found = [], line_dedup._found
+
+    def seen(posted, threshold, near):
+        out = found(posted, threshold, near)
+        rounds.append((near, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_found", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_lines(rows)
+    assert data.kept(line_dedup.digests(df, pack_bytes=1 << 13), "doc_id", "n_lines", "n_removed", "kept_sha256") == want
+    assert sum(r[2] for r in want) > 10 and [r[0] for r in rounds] == [nearest, 0] and rounds[1][1] > 0
+
+
 def test_lines_with_edges(spark):
     got = line_dedup.dedup(data.docs(spark))
     assert got.columns == data.docs(spark).columns

@@ -10,7 +10,8 @@ does not matter. Blank lines have no tokens and stay.
    not posted at all.
 3. Posting lists drop pairs by length, by the place of the common word, and by parity bits of
    the token sets (their differing bits bound the symmetric difference from below): 64 bits,
-   128 for lines of more than ``WIDE[0]`` words and 256 for more than ``WIDE[1]``.
+   128 for lines of more than ``WIDE[0]`` words and 256 for more than ``WIDE[1]``. A list of more
+   than two ``BLOCK`` different lines is cut into blocks, and each pair of blocks is a task's work of its own.
 4. Equal lines (64-bit sums of their word hashes) are collapsed, inside a pack and again inside posting lists. From
    each list a line sends on its ``NEAREST`` candidates by parity bits, so rows grow with lines
    and not with pairs. Candidates are verified on the whole token sets: the pack of the earlier
@@ -32,11 +33,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, column_bytes, distinct, lookup, mix, run_hashes, runs, squeeze, unsqueeze
-from .packs import ASKED, BITS, PACK_BYTES, Shape, answer, ask, asked, cuts_of, each_pack, make_packs, shape_for, told
+from .packs import ASKED, BITS, PACK_BYTES, Shape, answer, ask, asked, cuts_of, each_pack, make_packs, seal, shape_for, told, unseal
 from .shared import cut, table
 
 THRESHOLD = 0.8
@@ -50,9 +51,12 @@ _POSTED = "bucket long, part long, pack long, n long, packs binary, " + ", ".joi
 _POSTED_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("pack", pa.int64()), ("n", pa.int64()), ("packs", pa.binary())] + [(c, pa.binary()) for c, _ in _COLS])
 _FOUND = "pack long, ord long, with_pack long, with_ord long"
 _FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64())])
+_HELD = "pack long, ord long, with_pack long, with_ord long, held binary"
+_HELD_ARROW = _FOUND_ARROW.append(pa.field("held", pa.binary()))
 _SETS = "pack long, from_pack long, ords binary, lens binary, toks binary"
 _SETS_ARROW = pa.schema([("pack", pa.int64()), ("from_pack", pa.int64()), ("ords", pa.binary()), ("lens", pa.binary()), ("toks", pa.binary())])
 NEAREST = 4
+BLOCK = 1 << 13
 WIDE = (80, 180)
 _WIDER = {"v1": WIDE[0], "w2": WIDE[1], "w3": WIDE[1]}
 
@@ -229,46 +233,24 @@ def _dealt(posted: DataFrame, shape: Shape, bits: int) -> DataFrame:
     return _dealt(sent, below, bits).unionByName(posted.where("part < 0"))
 
 
-def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
-    """One bucket's posting lists: copies (with_pack -1), candidates, and words under which a line has candidates
-    that were not sent (with_pack -2, the word as with_ord). complete: all candidates of flagged lines."""
-    if t["bucket"][0].as_py() < 0:
-        o = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in t["ord"]]).astype(np.int64)
-        none = np.full(len(o), -1)
-        return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none], schema=_FOUND_ARROW)
-    packs, c = _opened(t)
-    # lines in their order (id, pack, place), as numbers; then equal sets under one word
-    order = np.lexsort((c["ord"], packs, c["doc"]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    same_line = np.zeros(len(order), bool)
-    same_line[1:] = (packs[order][1:] == packs[order][:-1]) & (c["ord"][order][1:] == c["ord"][order][:-1])
-    rank = (np.cumsum(~same_line) - 1)[rank]
-    set_ = mix(mix(c["tok"] << np.uint64(24) ^ c["len"]) ^ c["sig"])
-    order = order[np.argsort(set_[order], kind="stable")]
-    same = np.zeros(len(order), bool)
-    same[1:] = set_[order][1:] == set_[order][:-1]
-    copies = order[same]
-    if not complete:  # equal sets meet at their first posted word; say it there only
-        copies = copies[c["flag"][copies] > 0]
-    copies = packs[copies], c["ord"][copies].astype(np.int64)
-    left = order[~same]
-    left = left[np.lexsort((rank[left], c["tok"][left]))]
-    c = {name: v[left] for name, v in c.items()}
-    packs, rank = packs[left], rank[left]
+def _compared(c: dict[str, np.ndarray], packs: np.ndarray, threshold: float, nearest: int, split: int | None = None) -> list[np.ndarray]:
+    """Columns of _FOUND for posting lists, each in the order of its lines: candidates, and words under which a line has
+    candidates that were not sent (with_pack -2, the word as with_ord). nearest 0: all candidates of flagged lines.
+    split: only pairs of a posting before this place and one from it on."""
     tok, n, pos = c["tok"], c["len"].astype(np.int64), c["pos"].astype(np.int64)
     ends = np.searchsorted(tok, tok, "right")
-    best, nearest = np.full((len(left), NEAREST), -1), np.full((len(left), NEAREST), 1 << 30)
-    many = np.zeros(len(left), np.int64)
+    best, gap = np.full((len(tok), max(nearest, 1)), -1), np.full((len(tok), max(nearest, 1)), 1 << 30)
+    many = np.zeros(len(tok), np.int64)
     pairs = []
-    at, step = np.arange(len(left)), 0
+    at, step = np.arange(len(tok) if split is None else split), 0
     while True:
         step += 1
         at = at[at + step < ends[at]]
         if not len(at):
             break
-        i, j = at, at + step  # j is the later line
-        if complete:
+        i = at if split is None else at[at + step >= split]
+        j = i + step  # the later line
+        if not nearest:
             on = c["flag"][j] > 0
             i, j = i[on], j[on]
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -280,28 +262,79 @@ def _candidates(t: pa.Table, threshold: float, complete: bool) -> pa.Table:
         apart = _apart(c, i, j, np.minimum(n[i], n[j]))
         ok = apart <= n[i] + n[j] - 2 * need
         i, j, apart = i[ok], j[ok], apart[ok]
-        if complete:
+        if not nearest:
             pairs.append((j, i))
         else:
             many[j] += 1  # a line comes up once in each step
-            worst = nearest[j].argmax(axis=1)
-            better = apart < nearest[j, worst]
-            best[j[better], worst[better]], nearest[j[better], worst[better]] = i[better], apart[better]
-    if complete:
-        j = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-        i = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-    else:
+            worst = gap[j].argmax(axis=1)
+            better = apart < gap[j, worst]
+            best[j[better], worst[better]], gap[j[better], worst[better]] = i[better], apart[better]
+    if nearest:
         j, slot = np.nonzero(best >= 0)
         i = best[j, slot]
-    out = [packs[j], c["ord"][j].astype(np.int64), packs[i], c["ord"][i].astype(np.int64)]
-    _, one = np.unique(rank[j] << 32 | rank[i], return_index=True)  # a pair that met at several words
-    out = [x[one] for x in out]
-    if complete:
-        return pa.table(out, schema=_FOUND_ARROW)
-    short = np.flatnonzero(many > NEAREST)  # lines with further candidates under a word, and the word
-    more = [packs[short], c["ord"][short].astype(np.int64), np.full(len(short), -2), tok[short].astype(np.int64)]
-    none = np.full(len(copies[0]), -1)
-    return pa.table([*(np.concatenate(x) for x in zip(out, [*copies, none, none], more))], schema=_FOUND_ARROW)
+    else:
+        j = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
+        i = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
+    ord_ = c["ord"].astype(np.int64)
+    short = np.flatnonzero(many > nearest) if nearest else np.zeros(0, np.int64)
+    more = [packs[short], ord_[short], np.full(len(short), -2), tok[short].astype(np.int64)]
+    return [np.concatenate(x) for x in zip([packs[j], ord_[j], packs[i], ord_[i]], more)]
+
+
+def _candidates(t: pa.Table, threshold: float, nearest: int, block: int) -> pa.Table:
+    """One bucket's posting lists: copies (with_pack -1), what ``_compared`` finds, and blocks of long lists
+    (with_pack -3, the word as pack, the block as ord, the number of blocks as with_ord)."""
+    if t["bucket"][0].as_py() < 0:
+        o = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in t["ord"]]).astype(np.int64)
+        none = np.full(len(o), -1)
+        return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none, pa.nulls(len(o), pa.binary())], schema=_HELD_ARROW)
+    packs, c = _opened(t)
+    # lines in their order (id, pack, place), as numbers; then equal sets under one word
+    order = np.lexsort((c["ord"], packs, c["doc"]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    set_ = mix(mix(c["tok"] << np.uint64(24) ^ c["len"]) ^ c["sig"])
+    order = order[np.argsort(set_[order], kind="stable")]
+    same = np.zeros(len(order), bool)
+    same[1:] = set_[order][1:] == set_[order][:-1]
+    copies = order[same]
+    copies = copies[c["flag"][copies] > 0] if nearest else copies[:0]  # equal sets meet at their first posted word; say it there only
+    none = np.full(len(copies), -1)
+    copies = [packs[copies], c["ord"][copies].astype(np.int64), none, none]
+    left = order[~same]
+    left = left[np.lexsort((rank[left], c["tok"][left]))]
+    c, packs = {name: v[left] for name, v in c.items()}, packs[left]
+    size = np.searchsorted(c["tok"], c["tok"], "right") - np.searchsorted(c["tok"], c["tok"], "left")
+    short = size <= 2 * block
+    out = _compared({name: v[short] for name, v in c.items()}, packs[short], threshold, nearest)
+    found = pa.table([np.concatenate(x) for x in zip(out, copies)], schema=_FOUND_ARROW).append_column("held", pa.nulls(len(out[0]) + len(copies[0]), pa.binary()))
+    lists, rows = np.flatnonzero(~short), []
+    for word, lo, hi in cuts_of(c["tok"][lists].astype(np.int64)):
+        whose = np.array_split(lists[lo:hi], -(-(hi - lo) // block))
+        for k, at in enumerate(whose):
+            held = pa.RecordBatch.from_pydict({"pack": packs[at]} | {name: c[name][at] for name, _ in _COLS})
+            rows.append({"pack": word, "ord": k, "with_pack": -3, "with_ord": len(whose), "held": seal([held], held.schema.names)})
+    return pa.concat_tables([found.cast(_HELD_ARROW), pa.Table.from_pylist(rows, schema=_HELD_ARROW)])
+
+
+def _found(posted: DataFrame, threshold: float, nearest: int) -> DataFrame:
+    """Rows of _FOUND for all postings, checkpointed."""
+    block, seen = BLOCK, Observation()
+    found = posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, nearest, block), _HELD)
+    found = cut(found.observe(seen, F.count(F.when(F.col("with_pack") == -3, 1)).alias("blocks")).distinct())
+    rest = found.where("with_pack > -3").drop("held")
+    if not seen.get["blocks"]:
+        return rest
+
+    def pair(t: pa.Table) -> pa.Table:
+        blocks = [unseal(t["held"][k].as_py()) for k in np.argsort(t["block"].to_numpy()).tolist()]
+        both = pa.concat_tables(blocks)
+        c = {name: both[name].to_numpy() for name, _ in _COLS}
+        return pa.table(_compared(c, both["pack"].to_numpy(), threshold, nearest, blocks[0].num_rows if len(blocks) > 1 else None), schema=_FOUND_ARROW)
+
+    held = found.where("with_pack = -3").select(F.col("pack").alias("word"), F.col("ord").alias("block"), F.explode(F.sequence(F.lit(0), F.col("with_ord") - 1)).alias("other"), "held")
+    pairs = held.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "held")
+    return cut(rest.unionByName(pairs.groupBy("word", "low", "high").applyInArrow(pair, _FOUND)).distinct())
 
 
 def _sets(t: pa.Table, k: int, ords: np.ndarray) -> _Lines:
@@ -377,8 +410,7 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD, bits:
         lines, ids, u, total = common(t, replies)
         return _postings(pack, lines, ids, total, u, shape, threshold, None, None)
 
-    found = _dealt(each_pack(packs, post, _POSTED, totals), shape, bits).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, False), _FOUND)
-    found = cut(found.distinct())
+    found = _found(_dealt(each_pack(packs, post, _POSTED, totals), shape, bits), threshold, NEAREST)
     sure = found.where("with_pack = -1").select("pack", "ord")
     pairs = found.where("with_pack >= 0").join(sure, ["pack", "ord"], "left_anti")
     first = cut(_verified(packs, pairs, k, threshold))
@@ -399,8 +431,8 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD, bits:
             return _postings(pack, lines, ids, total, u, shape, threshold, open_, wanted)
 
         mixed = totals.unionByName(unsure.select("pack", "ord").distinct(), allowMissingColumns=True)
-        more = _dealt(each_pack(packs, again, _POSTED, mixed), shape, bits).groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, True), _FOUND)
-        more = cut(more.distinct().join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
+        more = _found(_dealt(each_pack(packs, again, _POSTED, mixed), shape, bits), threshold, 0)
+        more = cut(more.join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
         gone = gone.unionByName(_verified(packs, more, k, threshold))
     return gone.distinct()
 

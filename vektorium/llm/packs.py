@@ -83,7 +83,8 @@ class Shape(NamedTuple):
         return self.ids[part] if self.ids else part
 
 
-def _seal(batches: list[pa.RecordBatch], names: list[str]) -> bytes:
+def seal(batches: list[pa.RecordBatch], names: list[str]) -> bytes:
+    """Rows as one compressed value; ``unseal`` is the inverse."""
     t = pa.Table.from_batches(batches).rename_columns(names).combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
@@ -110,7 +111,7 @@ def make_packs(df: DataFrame, size: int = PACK_BYTES) -> DataFrame:
 
         def out():
             nonlocal k
-            blob = _seal(held, names)
+            blob = seal(held, names)
             ident = even_id(part << 21 | k, (part + k * splits) % n, n)
             got = pa.RecordBatch.from_pydict({"pack": pa.array([ident], pa.int64()), "rows": pa.array([sum(b.num_rows for b in held)], pa.int64()), "blob": pa.array([blob], pa.binary())})
             k += 1
