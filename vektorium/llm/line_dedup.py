@@ -17,8 +17,8 @@ does not matter. Blank lines have no tokens and stay.
    and not with pairs. Candidates are verified on the whole token sets: the pack of the earlier
    line sends the sets that a pack asks for, each once.
 5. Lines that had more candidates than they sent on, of which none was verified (few), go
-   through a second, complete round: only words of their prefixes are posted again, and all
-   their candidates are verified.
+   through a second, complete round: the lists that had more are kept by the first one, get the token
+   sets of the lines that are candidates there, and verify all of them, so that no pairs travel.
 
 Words are compared by 40-bit hashes within pairs of lines, equal lines by 64-bit sums of whole hashes. Defined cases: null and empty texts
 have one empty line and stay; equal lines of one text count, the first stays; rows with the same
@@ -51,12 +51,12 @@ _POSTED = "bucket long, part long, pack long, n long, packs binary, " + ", ".joi
 _POSTED_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("pack", pa.int64()), ("n", pa.int64()), ("packs", pa.binary())] + [(c, pa.binary()) for c, _ in _COLS])
 _FOUND = "pack long, ord long, with_pack long, with_ord long"
 _FOUND_ARROW = pa.schema([("pack", pa.int64()), ("ord", pa.int64()), ("with_pack", pa.int64()), ("with_ord", pa.int64())])
-_HELD = "pack long, ord long, with_pack long, with_ord long, held binary"
-_HELD_ARROW = _FOUND_ARROW.append(pa.field("held", pa.binary()))
+_HELD = _FOUND + ", key long, low long, high long, held binary"
+_HELD_ARROW = pa.schema([*_FOUND_ARROW, ("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("held", pa.binary())])
 _SETS = "pack long, from_pack long, ords binary, lens binary, toks binary"
 _SETS_ARROW = pa.schema([("pack", pa.int64()), ("from_pack", pa.int64()), ("ords", pa.binary()), ("lens", pa.binary()), ("toks", pa.binary())])
 NEAREST = 4
-BLOCK = 1 << 13
+BLOCK = 1 << 12
 WIDE = (80, 180)
 _WIDER = {"v1": WIDE[0], "w2": WIDE[1], "w3": WIDE[1]}
 
@@ -113,15 +113,6 @@ class _Lines:
             out[some] = np.add.reduceat(mix(h + np.uint64(1)), (np.cumsum(words) - words)[some])
         return out
 
-    def only(self, lines: np.ndarray) -> None:
-        """Leave the words of these lines only."""
-        stay = np.zeros(len(self.len), bool)
-        stay[lines] = True
-        keep = stay[self.line]
-        self.line, self.tok = self.line[keep], self.tok[keep]
-        self.len = np.where(stay, self.len, 0)
-        self.at = np.concatenate([[0], np.cumsum(self.len)])
-
 
 def _need(a, b, threshold: float):
     """Smallest overlap of sets of sizes a and b with Jaccard similarity of the threshold."""
@@ -158,8 +149,8 @@ def _apart(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, least: np.nda
     return out
 
 
-def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: np.ndarray, shape: Shape, threshold: float, open_: np.ndarray | None, bitmap: np.ndarray | None) -> pa.Table:
-    """Rows of _POSTED. open_: lines of the second round, bitmap: hashed words that they post."""
+def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: np.ndarray, shape: Shape, threshold: float) -> pa.Table:
+    """Rows of _POSTED; flag marks a line's first posting."""
     own = _identity(lines)
     sig = own["sig"]
     some = np.flatnonzero(lines.len)
@@ -179,18 +170,15 @@ def _postings(pack: int, lines: _Lines, ids: np.ndarray, total: np.ndarray, u: n
     pos = np.arange(len(line)) - lines.at[line]
     n = lines.len[line]
     send = stands[line] & (pos < n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1) & (total[word] > 1)
-    if bitmap is not None:
-        send &= bitmap[(u[word] & np.uint64(len(bitmap) - 1)).astype(np.int64)]
     k = np.flatnonzero(send)
     first = np.ones(len(k), bool)
     first[1:] = line[k][1:] != line[k][:-1]
-    flag = first.astype(np.uint8) if open_ is None else np.isin(line[k], open_).astype(np.uint8)
-    out = {"tok": u[word[k]], "ord": line[k].astype(np.uint32), "doc": ids[lines.row[line[k]]], "len": n[k].astype(np.uint32), "pos": pos[k].astype(np.uint32), "flag": flag} | {c: v[line[k]] for c, v in own.items()}
+    out = {"tok": u[word[k]], "ord": line[k].astype(np.uint32), "doc": ids[lines.row[line[k]]], "len": n[k].astype(np.uint32), "pos": pos[k].astype(np.uint32), "flag": first.astype(np.uint8)} | {c: v[line[k]] for c, v in own.items()}
     order = np.argsort(out["tok"], kind="stable")
     out = {c: v[order] for c, v in out.items()}
     rows = _posted(out, shape, pack, None)
-    if bitmap is None:  # copies inside the pack travel as they are
-        rows.append({"bucket": -1 - pack, "part": -1, "pack": pack, "n": 0, "ord": squeeze(s[~new].astype(np.uint32))})
+    # copies inside the pack travel as they are
+    rows.append({"bucket": -1 - pack, "part": -1, "pack": pack, "n": 0, "ord": squeeze(s[~new].astype(np.uint32))})
     return pa.Table.from_pylist(rows, schema=_POSTED_ARROW)
 
 
@@ -233,11 +221,12 @@ def _dealt(posted: DataFrame, shape: Shape, bits: int) -> DataFrame:
     return _dealt(sent, below, bits).unionByName(posted.where("part < 0"))
 
 
-def _compared(c: dict[str, np.ndarray], packs: np.ndarray, threshold: float, nearest: int, split: int | None = None) -> list[np.ndarray]:
-    """Columns of _FOUND for posting lists, each in the order of its lines: candidates, and words under which a line has
-    candidates that were not sent (with_pack -2, the word as with_ord). nearest 0: all candidates of flagged lines.
+def _compared(c: dict[str, np.ndarray], packs: np.ndarray, line: np.ndarray, threshold: float, nearest: int, split: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Candidates of posting lists, each in the order of its lines, as columns of _FOUND; and postings whose line has
+    candidates that were not sent. line: numbers of the lines, below 2**32. nearest 0: all candidates of flagged lines.
     split: only pairs of a posting before this place and one from it on."""
-    tok, n, pos = c["tok"], c["len"].astype(np.int64), c["pos"].astype(np.int64)
+    tok, n, pos = c["tok"], c["len"].astype(np.int32), c["pos"].astype(np.int32)
+    rest, share = n - pos, threshold / (1 + threshold)
     ends = np.searchsorted(tok, tok, "right")
     best, gap = np.full((len(tok), max(nearest, 1)), -1), np.full((len(tok), max(nearest, 1)), 1 << 30)
     many = np.zeros(len(tok), np.int64)
@@ -253,14 +242,14 @@ def _compared(c: dict[str, np.ndarray], packs: np.ndarray, threshold: float, nea
         if not nearest:
             on = c["flag"][j] > 0
             i, j = i[on], j[on]
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = small >= threshold * large - 1e-9
-        i, j = i[ok], j[ok]
-        need = _need(n[i], n[j], threshold)
-        ok = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-        i, j, need = i[ok], j[ok], need[ok]
+        both = n[i] + n[j]
+        # the common word's places bound the overlap, by the smaller length too
+        ok = np.minimum(pos[i], pos[j]) + np.minimum(rest[i], rest[j]) >= share * both - 1e-9
+        i, j, both = i[ok], j[ok], both[ok]
+        if not len(i):
+            continue
         apart = _apart(c, i, j, np.minimum(n[i], n[j]))
-        ok = apart <= n[i] + n[j] - 2 * need
+        ok = apart <= both - 2 * np.ceil(share * both - 1e-9)
         i, j, apart = i[ok], j[ok], apart[ok]
         if not nearest:
             pairs.append((j, i))
@@ -275,66 +264,103 @@ def _compared(c: dict[str, np.ndarray], packs: np.ndarray, threshold: float, nea
     else:
         j = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
         i = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-    ord_ = c["ord"].astype(np.int64)
-    short = np.flatnonzero(many > nearest) if nearest else np.zeros(0, np.int64)
-    more = [packs[short], ord_[short], np.full(len(short), -2), tok[short].astype(np.int64)]
-    return [np.concatenate(x) for x in zip([packs[j], ord_[j], packs[i], ord_[i]], more)]
+    _, one = np.unique(line[j] << 32 | line[i], return_index=True)  # a pair may meet at several words
+    i, j, ord_ = i[one], j[one], c["ord"].astype(np.int64)
+    return [packs[j], ord_[j], packs[i], ord_[i]], np.flatnonzero(many > nearest)
+
+
+def _more(found: list[np.ndarray], packs: np.ndarray, ords: np.ndarray, key: int, low: int, high: int) -> pa.Table:
+    """Rows of _HELD: what was found, and lines (with_pack -2) that have more candidates between blocks low and high of key."""
+    none, at = np.full(len(packs), -2), np.concatenate([np.zeros(len(found[0]), bool), np.ones(len(packs), bool)])
+    cols = [np.concatenate(x) for x in zip(found, [packs, ords.astype(np.int64), none, none])]
+    cols += [pa.array(np.full(len(at), v), mask=~at) for v in (key, low, high)]
+    return pa.table([*cols, pa.nulls(len(at), pa.binary())], schema=_HELD_ARROW)
+
+
+def _kept(key: int, block: int, blocks: int, packs: np.ndarray, c: dict[str, np.ndarray], at: np.ndarray) -> dict:
+    """A row of _HELD (with_pack -3) with a block of postings."""
+    held = pa.RecordBatch.from_pydict({"pack": packs[at]} | {name: c[name][at] for name, _ in _COLS})
+    return {"pack": blocks, "ord": block, "with_pack": -3, "with_ord": -3, "key": key, "held": seal([held], held.schema.names)}
 
 
 def _candidates(t: pa.Table, threshold: float, nearest: int, block: int) -> pa.Table:
-    """One bucket's posting lists: copies (with_pack -1), what ``_compared`` finds, and blocks of long lists
-    (with_pack -3, the word as pack, the block as ord, the number of blocks as with_ord)."""
+    """One bucket's posting lists: copies (with_pack -1), candidates, lines with more candidates, and postings to be held:
+    the blocks of each long list under its word, and the short lists with more candidates as one block under the first
+    of their words (with the number of blocks as pack)."""
     if t["bucket"][0].as_py() < 0:
         o = np.concatenate([unsqueeze(x.as_py(), np.uint32) for x in t["ord"]]).astype(np.int64)
         none = np.full(len(o), -1)
-        return pa.table([np.full(len(o), t["pack"][0].as_py()), o, none, none, pa.nulls(len(o), pa.binary())], schema=_HELD_ARROW)
+        return _more([np.full(len(o), t["pack"][0].as_py()), o, none, none], none[:0], none[:0], 0, 0, 0)
     packs, c = _opened(t)
     # lines in their order (id, pack, place), as numbers; then equal sets under one word
     order = np.lexsort((c["ord"], packs, c["doc"]))
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    same_line = np.zeros(len(order), bool)
+    same_line[1:] = (packs[order][1:] == packs[order][:-1]) & (c["ord"][order][1:] == c["ord"][order][:-1])
+    rank[order] = np.cumsum(~same_line) - 1
     set_ = mix(mix(c["tok"] << np.uint64(24) ^ c["len"]) ^ c["sig"])
     order = order[np.argsort(set_[order], kind="stable")]
     same = np.zeros(len(order), bool)
     same[1:] = set_[order][1:] == set_[order][:-1]
     copies = order[same]
-    copies = copies[c["flag"][copies] > 0] if nearest else copies[:0]  # equal sets meet at their first posted word; say it there only
+    copies = copies[c["flag"][copies] > 0]  # equal sets meet at their first posted word; say it there only
     none = np.full(len(copies), -1)
     copies = [packs[copies], c["ord"][copies].astype(np.int64), none, none]
     left = order[~same]
     left = left[np.lexsort((rank[left], c["tok"][left]))]
-    c, packs = {name: v[left] for name, v in c.items()}, packs[left]
-    size = np.searchsorted(c["tok"], c["tok"], "right") - np.searchsorted(c["tok"], c["tok"], "left")
-    short = size <= 2 * block
-    out = _compared({name: v[short] for name, v in c.items()}, packs[short], threshold, nearest)
-    found = pa.table([np.concatenate(x) for x in zip(out, copies)], schema=_FOUND_ARROW).append_column("held", pa.nulls(len(out[0]) + len(copies[0]), pa.binary()))
-    lists, rows = np.flatnonzero(~short), []
-    for word, lo, hi in cuts_of(c["tok"][lists].astype(np.int64)):
-        whose = np.array_split(lists[lo:hi], -(-(hi - lo) // block))
-        for k, at in enumerate(whose):
-            held = pa.RecordBatch.from_pydict({"pack": packs[at]} | {name: c[name][at] for name, _ in _COLS})
-            rows.append({"pack": word, "ord": k, "with_pack": -3, "with_ord": len(whose), "held": seal([held], held.schema.names)})
-    return pa.concat_tables([found.cast(_HELD_ARROW), pa.Table.from_pylist(rows, schema=_HELD_ARROW)])
-
-
-def _found(posted: DataFrame, threshold: float, nearest: int) -> DataFrame:
-    """Rows of _FOUND for all postings, checkpointed."""
+    size = np.bincount(np.cumsum(np.append(True, c["tok"][left][1:] != c["tok"][left][:-1])) - 1) if len(left) else np.zeros(0, np.int64)
+    size = np.repeat(size, size)
+    long = left[size > 2 * block]
+    left = left[(size > 1) & (size <= 2 * block)]
+    short, whose = {name: v[left] for name, v in c.items()}, packs[left]
+    found, more = _compared(short, whose, rank[left], threshold, nearest)
+    rows, key = [], 0
+    if len(more):
+        at = np.flatnonzero(np.isin(short["tok"], short["tok"][more]))
+        key = int(short["tok"][at[0]])
+        rows.append(_kept(key, 0, 1, whose, short, at))
+    for word, lo, hi in cuts_of(c["tok"][long].astype(np.int64)):
+        cut_ = np.array_split(long[lo:hi], -(-(hi - lo) // block))
+        rows += [_kept(word, k, len(cut_), packs, c, at) for k, at in enumerate(cut_)]
+    found = [np.concatenate(x) for x in zip(found, copies)]
+    return pa.concat_tables([_more(found, whose[more], short["ord"][more], key, 0, 0), pa.Table.from_pylist(rows, schema=_HELD_ARROW)])
+
+
+def _pair(t: pa.Table, threshold: float, nearest: int, open_: pa.Table | None = None) -> tuple[pa.Table, list, np.ndarray]:
+    """Two blocks of one key, or one, through ``_compared``; open_: lines of the second round. Postings and what was found."""
+    blocks = [unseal(t["held"][k].as_py()) for k in np.argsort(t["block"].to_numpy()).tolist()]
+    both = pa.concat_tables(blocks).combine_chunks()
+    c = {name: both[name].to_numpy() for name, _ in _COLS}
+    if open_ is not None:
+        lines = set(zip(open_["pack"].to_pylist(), open_["ord"].to_pylist()))
+        c["flag"] = np.array([x in lines for x in zip(both["pack"].to_pylist(), c["ord"].tolist())], np.uint8)
+    packs = both["pack"].to_numpy()
+    order = np.lexsort((c["ord"], packs))
+    line = np.empty(len(order), np.int64)
+    line[order] = np.cumsum(np.append(False, (np.diff(packs[order]) != 0) | (np.diff(c["ord"][order]) != 0))[: len(order)])
+    return both, *_compared(c, packs, line, threshold, nearest, blocks[0].num_rows if len(blocks) > 1 else None)
+
+
+def _blocks(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The held blocks that each of pairs(key, low, high) takes."""
+    held = found.where("with_pack = -3").select("key", F.col("ord").alias("block"), "held")
+    return pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))).join(held, ["key", "block"])
+
+
+def _first_round(posted: DataFrame, threshold: float, nearest: int) -> DataFrame:
+    """Rows of _HELD for all postings, checkpointed."""
     block, seen = BLOCK, Observation()
     found = posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, threshold, nearest, block), _HELD)
-    found = cut(found.observe(seen, F.count(F.when(F.col("with_pack") == -3, 1)).alias("blocks")).distinct())
-    rest = found.where("with_pack > -3").drop("held")
-    if not seen.get["blocks"]:
-        return rest
+    found = cut(found.observe(seen, F.count(F.when(F.expr("with_pack = -3 AND pack > 1"), 1)).alias("long")).distinct())
+    if not seen.get["long"]:
+        return found
 
     def pair(t: pa.Table) -> pa.Table:
-        blocks = [unseal(t["held"][k].as_py()) for k in np.argsort(t["block"].to_numpy()).tolist()]
-        both = pa.concat_tables(blocks)
-        c = {name: both[name].to_numpy() for name, _ in _COLS}
-        return pa.table(_compared(c, both["pack"].to_numpy(), threshold, nearest, blocks[0].num_rows if len(blocks) > 1 else None), schema=_FOUND_ARROW)
+        both, out, more = _pair(t, threshold, nearest)
+        return _more(out, both["pack"].to_numpy()[more], both["ord"].to_numpy()[more], *(t[x][0].as_py() for x in ("key", "low", "high")))
 
-    held = found.where("with_pack = -3").select(F.col("pack").alias("word"), F.col("ord").alias("block"), F.explode(F.sequence(F.lit(0), F.col("with_ord") - 1)).alias("other"), "held")
-    pairs = held.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "held")
-    return cut(rest.unionByName(pairs.groupBy("word", "low", "high").applyInArrow(pair, _FOUND)).distinct())
+    long = found.where("with_pack = -3 AND pack > 1").select("key", F.col("ord").alias("high"), F.explode(F.sequence(F.lit(0).cast("long"), "ord")).alias("low"))
+    return cut(found.unionByName(_blocks(found, long).groupBy("key", "low", "high").applyInArrow(pair, _HELD)).distinct())
 
 
 def _sets(t: pa.Table, k: int, ords: np.ndarray) -> _Lines:
@@ -344,9 +370,8 @@ def _sets(t: pa.Table, k: int, ords: np.ndarray) -> _Lines:
     return _Lines(pa.table({f"c{k}": pa.array([raw[a:b] for a, b in zip(lines.starts[ords].tolist(), lines.ends[ords].tolist())], pa.binary())}), k)
 
 
-def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(pack, ord) of those of pairs(pack, ord, with_pack, with_ord) whose whole token sets have the similarity."""
-    wanted = pairs.select(F.col("with_pack").alias("pack"), F.col("with_ord").alias("ord"), F.col("pack").alias("to")).distinct()
+def _sent(packs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Rows of _SETS with the token sets of the lines wanted(pack, ord, to), each once for each ``to``, which is their pack."""
 
     def send(pack, t, w):
         if pack is None or not w.num_rows:
@@ -354,43 +379,87 @@ def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> D
         ords, to, out = w["ord"].to_numpy(), w["to"].to_numpy(), []
         every = distinct(ords)
         own = _sets(t, k, every)
-        for p in distinct(to).tolist():
-            mine = distinct(ords[to == p])
+        order = np.argsort(to, kind="stable")
+        for p, lo, hi in cuts_of(to[order]):
+            mine = distinct(ords[order[lo:hi]])
             at = np.searchsorted(every, mine)
             toks = np.concatenate([own.tok[own.at[x] : own.at[x + 1]] for x in at.tolist()])
             out.append({"pack": p, "from_pack": pack, "ords": squeeze(mine), "lens": squeeze(own.len[at].astype(np.uint32)), "toks": squeeze(toks)})
         return pa.Table.from_pylist(out, schema=_SETS_ARROW)
 
-    sets = each_pack(packs, send, _SETS, wanted)
+    return each_pack(packs, send, _SETS, wanted)
+
+
+def _received(t: pa.Table) -> dict[tuple[int, int], np.ndarray]:
+    """Token sets by pack and line, from rows of _SETS."""
+    out = {}
+    for r in t.select(["from_pack", "ords", "lens", "toks"]).to_pylist():
+        cuts = np.cumsum(unsqueeze(r["lens"], np.uint32).astype(np.int64))[:-1]
+        for o, x in zip(unsqueeze(r["ords"], np.int64).tolist(), np.split(unsqueeze(r["toks"], np.uint64), cuts)):
+            out[r["from_pack"], o] = x
+    return out
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    both = np.sort(np.concatenate([a, b]))
+    return (both[1:] == both[:-1]).sum() >= _need(len(a), len(b), threshold)
+
+
+def _verified(packs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(pack, ord) of those of pairs(pack, ord, with_pack, with_ord) whose whole token sets have the similarity."""
+    wanted = pairs.select(F.col("with_pack").alias("pack"), F.col("with_ord").alias("ord"), F.col("pack").alias("to")).distinct()
 
     def verify(pack, t, both):
         pairs = both.filter(pc.is_null(both["from_pack"]))
         none = pa.table({"pack": pa.array([], pa.int64()), "ord": pa.array([], pa.int64())})
         if pack is None or not pairs.num_rows:
             return none
-        others = {}
-        for r in both.filter(pc.is_valid(both["from_pack"])).to_pylist():
-            cuts = np.cumsum(unsqueeze(r["lens"], np.uint32).astype(np.int64))[:-1]
-            for o, x in zip(unsqueeze(r["ords"], np.int64).tolist(), np.split(unsqueeze(r["toks"], np.uint64), cuts)):
-                others[r["from_pack"], o] = x
+        others = _received(both.filter(pc.is_valid(both["from_pack"])))
         ords = distinct(pairs["ord"].to_numpy())
         own, good = _sets(t, k, ords), set()
         for j, p, o in zip(pairs["ord"].to_pylist(), pairs["with_pack"].to_pylist(), pairs["with_ord"].to_pylist()):
             if j not in good:
                 at = int(np.searchsorted(ords, j))
-                a, b = own.tok[own.at[at] : own.at[at + 1]], others[p, o]
-                both_ = np.sort(np.concatenate([a, b]))
-                if (both_[1:] == both_[:-1]).sum() >= _need(len(a), len(b), threshold):
+                if _alike(own.tok[own.at[at] : own.at[at + 1]], others[p, o], threshold):
                     good.add(j)
         good = np.array(sorted(good), np.int64)
         return pa.table({"pack": np.full(len(good), pack), "ord": good}) if len(good) else none
 
-    mixed = pairs.select("pack", "ord", "with_pack", "with_ord").unionByName(sets, allowMissingColumns=True)
+    mixed = pairs.select("pack", "ord", "with_pack", "with_ord").unionByName(_sent(packs, wanted, k), allowMissingColumns=True)
     return each_pack(packs, verify, "pack long, ord long", mixed)
 
 
+def _second_round(packs: DataFrame, found: DataFrame, unsure: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(pack, ord) of the lines unsure(pack, ord, key, low, high) that have a similar line before them between these blocks."""
+    by = ["key", "low", "high"]
+    tasks = cut(unsure.select(*by).distinct().withColumn("task", F.monotonically_increasing_id()))
+    open_ = cut(unsure.join(tasks, by).select("task", "pack", "ord"))
+    held = cut(_blocks(found, tasks).select("task", "block", "held"))
+
+    def lines(t: pa.Table, o: pa.Table) -> pa.Table:
+        a, b, c, d = _pair(t, threshold, 0, o)[1]
+        lines = np.unique(np.stack([np.concatenate([a, c]), np.concatenate([b, d])]), axis=1)
+        return pa.table({"pack": lines[0], "ord": lines[1], "to": np.full(lines.shape[1], t["task"][0].as_py())})
+
+    def verify(t: pa.Table, both: pa.Table) -> pa.Table:
+        found = _pair(t, threshold, 0, both.filter(pc.is_null(both["from_pack"])))[1]
+        sets, good = _received(both.filter(pc.is_valid(both["from_pack"]))), set()
+        for p, o, with_p, with_o in zip(*(x.tolist() for x in found)):
+            if (p, o) not in good and _alike(sets[p, o], sets[with_p, with_o], threshold):
+                good.add((p, o))
+        good = np.array(sorted(good), np.int64).reshape(-1, 2)
+        return pa.table({"pack": good[:, 0], "ord": good[:, 1]})
+
+    wanted = held.groupBy("task").cogroup(open_.groupBy("task")).applyInArrow(lines, "pack long, ord long, to long")
+    sets = _sent(packs, wanted, k).withColumnRenamed("pack", "task")
+    both = open_.unionByName(sets, allowMissingColumns=True)
+    return held.groupBy("task").cogroup(both.groupBy("task")).applyInArrow(verify, "pack long, ord long")
+
+
 def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """(pack, ord) of all lines that go; k is the number of the text column in the packs, column 0 has the ids."""
+    if not packs.select("pack").head(1):  # where nothing runs, nothing can be observed below
+        return packs.sparkSession.createDataFrame([], "pack long, ord long")
     shape = shape_for(packs, bits)
 
     def count(pack, t, _):
@@ -400,40 +469,20 @@ def removed_lines(packs: DataFrame, k: int, threshold: float = THRESHOLD, bits:
 
     totals = cut(answer(each_pack(packs, count, ASKED), shape, bits))
 
-    def common(t, replies):
+    def post(pack, t, replies):
         lines = _Lines(t, k)
         u = distinct(lines.tok)
         ids = t["c0"].fill_null(-(1 << 62)).to_numpy()
-        return lines, ids, u, told(replies, 0, u << np.uint64(64 - _TOKEN), shape)
-
-    def post(pack, t, replies):
-        lines, ids, u, total = common(t, replies)
-        return _postings(pack, lines, ids, total, u, shape, threshold, None, None)
+        return _postings(pack, lines, ids, told(replies, 0, u << np.uint64(64 - _TOKEN), shape), u, shape, threshold)
 
-    found = _found(_dealt(each_pack(packs, post, _POSTED, totals), shape, bits), threshold, NEAREST)
+    found = _first_round(_dealt(each_pack(packs, post, _POSTED, totals), shape, bits), threshold, NEAREST)
     sure = found.where("with_pack = -1").select("pack", "ord")
     pairs = found.where("with_pack >= 0").join(sure, ["pack", "ord"], "left_anti")
     first = cut(_verified(packs, pairs, k, threshold))
     gone = sure.unionByName(first)
-    unsure = cut(found.where("with_pack = -2").join(gone, ["pack", "ord"], "left_anti").select("pack", "ord", F.col("with_ord").alias("word")))
-    if unsure.head(1):  # the complete round, for lines whose nearest candidates failed, under the words that had more
-        size = 1 << 20
-        words = [r[0] for r in unsure.select(F.col("word").bitwiseAND(size - 1)).distinct().collect()]  # at most 2**20 numbers
-        bitmap = np.zeros(size, bool)
-        bitmap[words] = True
-        sent = packs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-
-        def again(pack, t, both):
-            lines, ids, u, total = common(t, both.filter(pc.is_valid(both["kind"])).select(["pack", "part", "kind", "n", "hit", "totals"]))
-            open_ = both.filter(pc.is_null(both["kind"]))["ord"].to_numpy()
-            wanted = np.unpackbits(sent.value).astype(bool)
-            lines.only(distinct(lines.line[wanted[(lines.tok & np.uint64(size - 1)).astype(np.int64)]]))
-            return _postings(pack, lines, ids, total, u, shape, threshold, open_, wanted)
-
-        mixed = totals.unionByName(unsure.select("pack", "ord").distinct(), allowMissingColumns=True)
-        more = _found(_dealt(each_pack(packs, again, _POSTED, mixed), shape, bits), threshold, 0)
-        more = cut(more.join(found, ["pack", "ord", "with_pack", "with_ord"], "left_anti"))
-        gone = gone.unionByName(_verified(packs, more, k, threshold))
+    unsure = cut(found.where("with_pack = -2").join(gone, ["pack", "ord"], "left_anti").select("pack", "ord", "key", "low", "high"))
+    if unsure.head(1):  # the complete round, for lines whose nearest candidates failed
+        gone = gone.unionByName(_second_round(packs, found, unsure, k, threshold))
     return gone.distinct()
 
 
