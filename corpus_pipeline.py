@@ -10,6 +10,8 @@ towards the target weights; byte-level BPE encodes what is left.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows, an empty table and
 further columns; what it does with them is said below.
+
+Text goes to Python in Arrow batches of about 2 MB, or of one longer text (``shared.small_batches``).
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts have no letter and go; a null lang is not learned from but predicted; where no row has a
     lang, every text with a letter stays; repeated rows stay or go together.
     """
+    shared.small_batches(spark)
     return langid.accepted(docs, langid.train(docs))
 
 
@@ -39,6 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All rows stay; a text may become empty, a null text stays null (and n_chars with it); of repeated rows the
     first keeps its lines; a null doc_id comes before all others.
     """
+    shared.small_batches(spark)
     out = line_dedup.dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -49,6 +53,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The smallest doc_id stays; null, empty and blank texts are copies of one another; rows without doc_id stay;
     of rows that share doc_id and text one stays.
     """
+    shared.small_batches(spark)
     return simhash_jaccard.representatives(docs, words=5)
 
 
@@ -64,6 +69,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row; a null text counts as empty."""
     import public_tokenizers
 
+    shared.small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -75,10 +81,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared.prepare(spark)
     place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs, before = shared.table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
-        docs = spark.read.parquet(f"{place}/{k}-{name}")
-        if before:
-            shared.remove(spark, before)
-        before = f"{place}/{k}-{name}"
+    with shared.settings(spark, **{shared.BATCH_KEY: spark.conf.get(shared.BATCH_KEY, str(shared.BATCH_BYTES))}):
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
+            docs = spark.read.parquet(f"{place}/{k}-{name}")
+            if before:
+                shared.remove(spark, before)
+            before = f"{place}/{k}-{name}"
     return docs

@@ -7,6 +7,8 @@ lead bytes are never in that set, so byte runs and code point runs agree.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -19,6 +21,22 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _tables: dict = {}
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that is free inside this Python worker back to the system; workers stay between tasks and would hold it.
+
+    Taking it anew costs CPU time, so this is for the end of a task.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, in place on a uint64 array."""
     x ^= x >> U64(30)

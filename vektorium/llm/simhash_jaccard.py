@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import column_bytes, mix, run_hashes, runs, window_hashes
+from .kernels import column_bytes, mix, release, run_hashes, runs, window_hashes
 from .shared import cut
 
 WORDS, TABLES, BITS, CHECKED, MOST = 6, 32, 12, 2, 36
@@ -66,6 +66,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 c.append(_key(x))
                 s.append(_sketch(x))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(s, pa.binary())], ["doc_id", "c", "sketch"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, c long, sketch binary")
 
@@ -141,6 +142,8 @@ def candidates(sets: DataFrame, whole: bool) -> DataFrame:
             held = t.slice(stop)
         if held is not None:
             yield found(held)
+        held = None
+        release()
 
     dealt = sets.select("c", "sketch", "comp").mapInArrow(deal, "bucket int, c long, comp long, a long, b long")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "c").mapInArrow(run, "u long, v long, bits long")
@@ -157,6 +160,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * THRESHOLD[1] >= (len(x) + len(y) - both) * THRESHOLD[0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     a, b = sets.select(F.col("c").alias("u"), F.col("x").alias("xu")), sets.select(F.col("c").alias("v"), F.col("x").alias("xv"))
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long")
@@ -169,6 +173,7 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
         for b in batches:
             xs = list(shingle_sets(b.column(0), words))
             yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in xs], pa.int64()), pa.array([x.tobytes() for x in xs], pa.binary())], ["c", "x"])
+        release()
 
     rows = cut(sketches(docs, words))
     classes = rows.where("doc_id IS NOT NULL").groupBy("c", "sketch").agg(F.min("doc_id").alias("rep"))
