@@ -114,6 +114,33 @@ def test_bpe_rows(spark, sf_dir, library):
     assert bpe.digests(data.empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_short_pieces_together(library, coder, monkeypatch):
+    one_by_one, merge = [], bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: one_by_one.append(piece) or merge(piece, ranks))
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("etaoinshrdluéß漢😀.,'9\n\x85", k=rnd.randint(1, 14))) for _ in range(5000)]
+    texts = [" ".join(rnd.choices(words, k=60)) for _ in range(100)] + ["".join(rnd.choices("etaoin", k=n)) for n in (32, 33, 34, 1025, 1060, 3000)]
+    assert [np.frombuffer(coder.encode(x), "<u4").tolist() for x in texts] == [library.encode_ordinary(x) for x in texts]
+    assert all(x in coder.ranks or len(x) > 32 for x in one_by_one)  # new words don't take a merge in Python each
+
+
+@pytest.mark.parametrize("cache, group, rows", [(2, 1, 1), (40, 200, 7), (600_000, 1 << 19, 1 << 13)])
+def test_bpe_groups(library, monkeypatch, cache, group, rows):
+    for name, value in (("CACHE", cache), ("GROUP", group), ("ROWS", rows), ("SLICE", 50)):
+        monkeypatch.setattr(bpe, name, value)
+    c, rnd = bpe.Coder(open(PATH, "rb").read(), public_tokenizers.PATTERN), random.Random(6)
+    texts = ["".join(rnd.choices([" ", "  ", " \n", "\t", "word", "zqx", "Ünï", "'s", "12", ", ", "x" * 120], k=rnd.randint(0, 80))) for _ in range(150)]
+    for _ in range(2):
+        assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in c.coded(texts)] == [library.encode_ordinary(x) for x in texts]
+    assert list(c.coded([])) == [] and len(c.old) + len(c.new) <= cache + 1000
+
+
+def test_bpe_other_vocabularies():
+    ranks = b"\n".join(base64.b64encode(x) + b" %d" % i for i, x in enumerate([b"a", b"b", b"c", b"ab", b"abc"]))
+    c = bpe.Coder(ranks, r"\p{L}+")  # not every byte, and a pattern that leaves characters out
+    assert np.frombuffer(c.encode("abc, ab  abab cb"), "<u4").tolist() == [4, 3, 3, 3, 2, 1]
+
+
 def test_licenses(spark):
     out = {r["doc_id"]: r for r in license_scan.scan(data.docs(spark)).collect() if r["doc_id"] is not None}
     r = out[12]
