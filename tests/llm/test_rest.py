@@ -124,7 +124,7 @@ def test_bpe_short_pieces_together(library, coder, monkeypatch):
     assert all(x in coder.ranks or len(x) > 32 for x in one_by_one)  # new words don't take a merge in Python each
 
 
-@pytest.mark.parametrize("cache, group, rows", [(2, 1, 1), (40, 200, 7), (600_000, 1 << 19, 1 << 13)])
+@pytest.mark.parametrize("cache, group, rows", [(2, 1, 1), (40, 200, 7), (300_000, 1 << 19, 1 << 13)])
 def test_bpe_groups(library, monkeypatch, cache, group, rows):
     for name, value in (("CACHE", cache), ("GROUP", group), ("ROWS", rows), ("SLICE", 50)):
         monkeypatch.setattr(bpe, name, value)

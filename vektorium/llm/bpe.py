@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import column_bytes
+from .kernels import column_bytes, release
 from .shared import table
 
-CACHE = 600_000
+CACHE = 300_000
 GROUP = 1 << 19
 ROWS = 1 << 13
 WIDTH = 32
@@ -324,6 +324,7 @@ def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             if with_ids:
                 out.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names)
+        release()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
