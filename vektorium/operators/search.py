@@ -2,7 +2,8 @@
 
 Two kernels give the same rows: ``hof`` scores inside the JVM, ``numpy`` multiplies blocks of
 vectors (Arrow batches) and sends on the best k of each block for each query. In both, what is
-shuffled is the best k of each task for each query, never all scores.
+shuffled is the best k of each task for each query, never all scores. ``hof`` takes about 20 us a
+pair, so beyond ``HOF_PAIRS`` pairs of a query and a base row the blocks are multiplied instead.
 
 Queries are broadcast only if they are under ``BROADCAST_BYTES``; more queries are cut into
 blocks and base rows into tiles, and each task compares tiles with blocks, so neither side has
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels, vector
 
 BROADCAST_BYTES = 64 << 20
+HOF_PAIRS = 1_000_000
 BLOCK = 512
 TILE = 4_096
 
@@ -68,7 +70,7 @@ dtype float16. k = 0 gives no rows, k over the size of base gives all of it; an
     small = n * d * 8 <= broadcast_bytes
     rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     room = kernels.NEAR if digits is None else 2 * 10.0**-digits
-    if kernel == "hof" and small and k <= 1000:
+    if kernel == "hof" and small and k <= 1000 and n * base.count() <= HOF_PAIRS:
         scale = F.col("scale") if dtype == "int8" else None
         pairs = base.crossJoin(F.broadcast(queries.select("query_id", "q")))
         return best(pairs.select("query_id", "vec_id", rounded(vector.score(metric, dtype, "q", name, scale)).alias(value)), k, metric, value)
