@@ -5,6 +5,7 @@ import pytest
 
 from tests.test_vectors import asked, rows, table
 from vektorium.operators import search
+from vektorium.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +26,19 @@ def test_many_pairs_by_dot(spark, many):
     assert in_blocks(got) and not in_blocks(search.exact_search(base, queries.where("query_id < 9"), 3, "dot"))
     want = np.argsort(-(q.astype(np.float64) @ x.T.astype(np.float64)), axis=1, kind="stable")[:, :3]
     assert [r[2] for r in rows(got)] == want.ravel().tolist()
+
+
+def test_many_pairs_by_distance(spark, many):
+    x, q, base, queries = many
+    got = search.exact_search(base, queries, 3, "l2", digits=9)
+    assert in_blocks(got)
+    d = ((x.astype(np.float64)[None] - q.astype(np.float64)[:, None]) ** 2).sum(axis=2).round(9)
+    assert [r[2] for r in rows(got)] == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+@pytest.mark.parametrize("pairs", [0, 1 << 40])
+def test_rounded_distances_tie(spark, tmp_path, monkeypatch, pairs):
+    """As in the SQL: distances equal to 9 digits are ordered by id."""
+    monkeypatch.setattr(search, "HOF_PAIRS", pairs)
+    table(spark, [[0.0, 0.0], [1.0, 2e-5], [1.0, 1e-5], [1.0, 0.0], [3.0, 0.0]]).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r[2] for r in rows(registry.queries()["exact_topk_l2"](spark, str(tmp_path)))] == [0, 1, 2, 3, 4]

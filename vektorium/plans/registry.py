@@ -162,7 +162,7 @@ def exact_topk_dot(spark, d):
 
 @query(_TOP_L2)
 def exact_topk_l2(spark, d):
-    return _rounded(search.exact_search(_base(spark, d), _queries(spark, d), K, "l2"), "dist")
+    return search.exact_search(_base(spark, d), _queries(spark, d), K, "l2", digits=9)
 
 
 @query(_TOP_DOT)
