@@ -42,3 +42,20 @@ def test_rounded_distances_tie(spark, tmp_path, monkeypatch, pairs):
     monkeypatch.setattr(search, "HOF_PAIRS", pairs)
     table(spark, [[0.0, 0.0], [1.0, 2e-5], [1.0, 1e-5], [1.0, 0.0], [3.0, 0.0]]).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [r[2] for r in rows(registry.queries()["exact_topk_l2"](spark, str(tmp_path)))] == [0, 1, 2, 3, 4]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """250 queries and 5,000 rows of embeddings."""
+    place = str(tmp_path_factory.mktemp("many"))
+    table(spark, np.random.default_rng(6).normal(size=(5_000, 4)).astype(np.float32)).write.parquet(f"{place}/embeddings.parquet")
+    return place
+
+
+@pytest.mark.parametrize("name", ["int8_refine"])
+def test_queries_of_many_pairs(spark, folder, name, monkeypatch):
+    got = registry.queries()[name](spark, folder)
+    assert in_blocks(got)
+    in_order = lambda df: sorted(map(tuple, df.collect()))
+    monkeypatch.setattr(search, "HOF_PAIRS", 1 << 40)
+    assert in_order(got) == in_order(registry.queries()[name](spark, folder))
