@@ -52,7 +52,7 @@ def folder(spark, tmp_path_factory):
     return place
 
 
-@pytest.mark.parametrize("name", ["int8_refine", "int8_topk_dot", "recall_hits"])
+@pytest.mark.parametrize("name", ["int8_refine", "int8_topk_dot", "recall_hits", "recall_int8"])
 def test_queries_of_many_pairs(spark, folder, name, monkeypatch):
     got = registry.queries()[name](spark, folder)
     assert in_blocks(got)
