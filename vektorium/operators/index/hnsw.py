@@ -3,6 +3,10 @@
 A shard is one packed row of at most ``shard_rows`` vectors (rows are dealt by a hash of the id),
 so graphs are built and searched in parallel. A search looks into every shard and merges, which
 does more work than one graph and finds at least about as much.
+
+How wide a beam finds the nearest rows depends on the number of rows and on the data. So each graph is
+tried with some of its own rows once it is built, and keeps the beam that it needs; a search takes that
+one where it is asked for a narrower one.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from ...functions import kernels
 from ..search import BLOCK, best, dimension
 
 SHARD_ROWS = 20_000
+#: Rows a graph is tried with, how many nearest rows of each, and the share of them that its beam has to find.
+PROBES, NEAREST, FOUND = 256, 10, 0.94
 
 
 class Graph:
@@ -95,6 +101,15 @@ class Graph:
             at = self._look(q, at, 1, level)
         return self._look(q, at, max(ef, k), 0)[:k]
 
+    def beam(self, pick: np.ndarray, nearest: int, ef: int) -> int:
+        """The narrowest of ef, 1.5 ef, ... that finds FOUND of the nearest rows of the rows of pick."""
+        i, j, v = kernels.block_topk("l2", self.x, self.x[pick], nearest)
+        order = np.lexsort((j, v, i))
+        near = [set(part[:nearest].tolist()) for part in np.split(j[order], np.searchsorted(i[order], np.arange(1, len(pick))))]
+        while ef < len(self.x) and sum(len(near[k].intersection(n for _, n in self.search(self.x[p], nearest, ef))) for k, p in enumerate(pick)) < FOUND * sum(map(len, near)):
+            ef += ef // 2
+        return ef
+
     def flat(self) -> np.ndarray:
         out = [self.entry, len(self.links)]
         for levels in self.links:
@@ -116,7 +131,7 @@ class Graph:
         return cls(x, m, links, f[0])
 
 
-_SHARD = "shard int, m int, dim int, ids binary, x binary, links binary"
+_SHARD = "shard int, m int, ef int, dim int, ids binary, x binary, links binary"
 
 
 class HnswIndex:
@@ -130,7 +145,9 @@ class HnswIndex:
         n, d = base.count(), dimension(base, "embedding")
         if not n:
             raise ValueError("the base has no vectors")
-        rows = base.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("x"), F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(n / shard_rows))).cast("int").alias("shard"))
+        shards = math.ceil(n / shard_rows)
+        nearest = min(NEAREST, math.ceil(NEAREST / shards) + 2)  # the others are in other shards
+        rows = base.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("x"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
 
         def run(t: pa.Table) -> pa.Table:
             t = t.sort_by("vec_id")
@@ -138,7 +155,8 @@ class HnswIndex:
             g, rng = Graph(x, m), np.random.default_rng([seed, shard])
             for node, u in enumerate(rng.random(len(x)).tolist()):
                 g.insert(node, int(-math.log(1 - u) / math.log(m)), ef_construction)
-            return pa.table({"shard": pa.array([shard], pa.int32()), "m": pa.array([m], pa.int32()), "dim": pa.array([d], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()]), "x": pa.array([x.astype("<f4").tobytes()]), "links": pa.array([g.flat().tobytes()])})
+            ef = g.beam(np.sort(rng.choice(len(x), min(len(x), PROBES), replace=False)), nearest, max(ef_construction, NEAREST))
+            return pa.table({"shard": pa.array([shard], pa.int32()), "m": pa.array([m], pa.int32()), "ef": pa.array([ef], pa.int32()), "dim": pa.array([d], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()]), "x": pa.array([x.astype("<f4").tobytes()]), "links": pa.array([g.flat().tobytes()])})
 
         return cls(rows.groupBy("shard").applyInArrow(run, _SHARD).persist())
 
@@ -147,10 +165,11 @@ class HnswIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HnswIndex:
-        return cls(spark.read.parquet(path))
+        shards = spark.read.parquet(path)
+        return cls(shards if "ef" in shards.columns else shards.withColumn("ef", F.lit(0)))  # written before beams were kept
 
     def search(self, queries: DataFrame, k: int, ef: int = 64) -> DataFrame:
-        """(query_id, rank, vec_id, dist) by squared distance; every shard meets every block of queries."""
+        """(query_id, rank, vec_id, dist) by squared distance; every shard meets every block of queries. ef: the least width of the beam."""
 
         def pack(batches):
             for b in batches:
@@ -162,14 +181,14 @@ class HnswIndex:
 
         def run(batches):
             for b in batches:
-                for m, d, ids, x, links, q_ids, q in zip(*(b.column(c).to_pylist() for c in ("m", "dim", "ids", "x", "links", "q_ids", "q"))):
+                for m, own, d, ids, x, links, q_ids, q in zip(*(b.column(c).to_pylist() for c in ("m", "ef", "dim", "ids", "x", "links", "q_ids", "q"))):
                     ids = np.frombuffer(ids, "<i8")
                     g = Graph.from_flat(np.frombuffer(x, "<f4").reshape(-1, d).astype(np.float64), m, np.frombuffer(links, "<i4"))
                     q_ids = np.frombuffer(q_ids, "<i8")
                     q = np.frombuffer(q).reshape(len(q_ids), -1)
                     if q.shape[1] != d:
                         raise ValueError(f"queries have {q.shape[1]} dimensions, the index has {d}")
-                    got = [(int(i), int(ids[n]), dist) for i, row in zip(q_ids, q) for dist, n in g.search(row, k, ef)]
+                    got = [(int(i), int(ids[n]), dist) for i, row in zip(q_ids, q) for dist, n in g.search(row, k, max(ef, own))]
                     yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "dist"), r)) for r in got], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())]))
 
         return best(self.shards.crossJoin(blocks).mapInArrow(run, "query_id long, vec_id long, dist double"), k, "l2", "dist")
