@@ -22,3 +22,13 @@ def test_a_narrow_beam_is_widened(spark, hard, shard_rows):
     base, q, truth = hard
     got = HnswIndex.build(base, 4, 20, shard_rows).search(q, 10, 10)
     assert evaluate.mean_recall(got, truth, 10).first()["recall"] >= 0.9
+
+
+def test_a_saved_graph_keeps_its_beam(spark, hard, tmp_path):
+    base, q, truth = hard
+    index = HnswIndex.build(base, 4, 20)
+    index.save(f"{tmp_path}/g")
+    got = HnswIndex.load(spark, f"{tmp_path}/g").search(q, 10, 10)
+    assert rows(got) == rows(index.search(q, 10, 10)) and evaluate.mean_recall(got, truth, 10).first()["recall"] >= 0.9
+    spark.read.parquet(f"{tmp_path}/g").drop("ef").write.parquet(f"{tmp_path}/old")  # as written before
+    assert HnswIndex.load(spark, f"{tmp_path}/old").search(q, 10, 10).count() == 1_500
