@@ -89,10 +89,13 @@ def pruned(lists: DataFrame, probes: DataFrame, some: bool) -> DataFrame:
 
 
 def meeting(tiles: DataFrame, blocks: DataFrame, spread: int) -> DataFrame:
-    """Tiles and blocks of the same list; a list's tiles are dealt out to `spread` tasks, its blocks go to each of them."""
+    """Tiles and blocks of the same list; a list's tiles are dealt out to `spread` tasks, its blocks go to each of them.
+
+    Neither side is broadcast: blocks hold each query once for each probed list and task, too much to go through the driver.
+    """
     tiles = tiles.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(spread)).cast("int"))
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return tiles.join(blocks, ["list_id", "part"])
+    return tiles.join(blocks.hint("merge"), ["list_id", "part"])
 
 
 def probed(queries: DataFrame, centroids: np.ndarray, nprobe: int, rotation: np.ndarray | None = None) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +14,7 @@ from ..ingest import text as T
 from ..operators import evaluate, programs, search, tables
 from ..operators.index import HnswIndex, IvfIndex, IvfPqIndex, pq
 from ..operators.index.kmeans import lloyd, seeds
+from ..operators.programs import scratch as _scratch
 from ..sources import files
 from ..streaming import append
 
@@ -58,16 +57,6 @@ def _every(spark, d) -> DataFrame:
     return _base(spark, d).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint place (a local one where none is set and the master is local)."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or None
-    if place is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        place = os.path.join(tempfile.gettempdir(), "checkpoints", "vektorium")
-    return f"{place}/{name}-{uuid.uuid4().hex}"
-
-
 def _rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.round(c, digits))
