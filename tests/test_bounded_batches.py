@@ -26,7 +26,7 @@ def test_batches_hold_every_query_once(queries):
         assert got == list(range(0, 400, 4))
 
 
-@pytest.mark.parametrize("mode,pipeline", [("full", "staged"), ("full", "interleaved")])
+@pytest.mark.parametrize("mode,pipeline", [("full", "staged"), ("full", "interleaved"), ("ann_only", "staged")])
 def test_evaluation(spark, base, queries, mode, pipeline):
     index, before = IvfIndex.build(base, 4, None, 2), spark.sparkContext._jsc.getPersistentRDDs().size()
     r = programs.evaluate(index, base, queries, 5, 4, 20, mode=mode, pipeline=pipeline, batch=2, warmup=0).first()
