@@ -37,3 +37,8 @@ def test_evaluation(spark, base, queries, mode, pipeline):
 def test_packed_queries_are_not_broadcast(base, queries):
     plan = IvfIndex.build(base, 4, None, 2).search(queries, 5, 2)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_bench(base, queries):
+    r = programs.bench_exact(base, queries, 3, batch=2, warmup=0).first()
+    assert (r["n"], r["batches"]) == (100, 16)
