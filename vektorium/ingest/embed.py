@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..sources import files
 from . import text as T
 
@@ -31,7 +32,9 @@ def hashing(dim: int = DIM) -> Callable[[list[str]], np.ndarray]:
 
 
 def embed(text: Column, make: Callable[[], Callable[[list[str]], np.ndarray]] = hashing, batch: int = 256) -> Column:
-    """array<float> of unit length for each text. make() is called once in each Python worker, so a model is loaded once."""
+    """array<float> of unit length for each text. make() is called once in each Python worker, so a model is loaded once.
+    Texts go to Python in small batches."""
+    small_batches(SparkSession.active())
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -9,9 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import BATCH_BYTES, BATCH_KEY, small_batches  # noqa: F401  used as names of this module
+
 HOT_KEYS = 10_000
-BATCH_BYTES = 2 << 20
-BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -46,16 +46,6 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, where the session has no bound of its own.
-
-    Rows alone don't bound them: 10,000 texts of 2 kB are 20 MB, which the JVM, its buffers and the Python worker each hold,
-    and again with every array made from them. The bound stays, since it must hold when what a caller does with a frame is planned.
-    """
-    if spark.conf.get(BATCH_KEY, None) is None:
-        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
-
-
 def cut(df: DataFrame, **more: str) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
