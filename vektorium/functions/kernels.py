@@ -39,19 +39,26 @@ def rough(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return s if metric == "dot" else 2 * s - (x * x).sum(1)[None, :] - (q * q).sum(1)[:, None]
 
 
-def block_topk(metric: str, x: np.ndarray, q: np.ndarray, k: int, near: float = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query rows, x rows, exact scores) of all that may be among the best k of this block; scores that are no number are left out."""
+def shortlist(metric: str, x: np.ndarray, q: np.ndarray, k: int, near: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, x rows) of all that may be among the best k of this block, by query."""
     if not len(x) or not len(q) or k <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(invalid="ignore", over="ignore"):
         s = rough(metric, x, q)
         s[np.isnan(s)] = -np.inf
-        if k < s.shape[1]:
-            floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            room = near * np.maximum(1.0, np.abs(np.where(np.isfinite(floor), floor, 0)))
-            i, j = np.nonzero(s >= (floor - room)[:, None])
-        else:
-            i, j = np.nonzero(np.ones_like(s, bool))
+        if k >= s.shape[1]:
+            return np.nonzero(np.ones_like(s, bool))
+        floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        room = near * np.maximum(1.0, np.abs(np.where(np.isfinite(floor), floor, 0)))
+        return np.nonzero(s >= (floor - room)[:, None])
+
+
+def block_topk(metric: str, x: np.ndarray, q: np.ndarray, k: int, near: float = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, x rows, exact scores) of the shortlist; scores that are no number are left out."""
+    i, j = shortlist(metric, x, q, k, near)
+    if not len(i):
+        return i, j, np.zeros(0)
+    with np.errstate(invalid="ignore", over="ignore"):
         v = exact(metric, x[j], q[i])
     ok = ~np.isnan(v)
     return i[ok], j[ok], v[ok]

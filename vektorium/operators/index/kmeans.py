@@ -57,8 +57,7 @@ def local_kmeans(x: np.ndarray, k: int, steps: int, seed: int = 42) -> np.ndarra
         lists, dist = nearest_lists(x, c, 1)
         lists, dist = lists[:, 0], dist[:, 0]
         n = np.bincount(lists, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, lists, x)
+        sums = np.stack([np.bincount(lists, v, k) for v in x.T], axis=1)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
         empty = np.flatnonzero(n == 0)
         c[empty] = x[np.argsort(-dist, kind="stable")[: len(empty)]]

@@ -44,6 +44,26 @@ def distances(q: np.ndarray, codes: np.ndarray, codebooks: np.ndarray) -> np.nda
     return table[np.arange(len(codebooks))[None, :], codes].sum(axis=1)
 
 
+def nearest_coded(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, codebooks: np.ndarray, k: int, digits: int | None = None):
+    """Batches of (query_id, vec_id, dist): the k coded rows nearest to each query by distances(), rounded if digits is given; ties go to the smaller id.
+
+    A product with the decoded rows leaves out what is farther than the k nearest by more than its own error and the rounding.
+    """
+    m, back = len(codebooks), decode(codes, codebooks)
+    most = max(1.0, 2 * ((back * back).sum(axis=1).max(initial=0) + (q * q).sum(axis=1).max(initial=0)))
+    near = kernels.NEAR * most + (0 if digits is None else 4 * 10.0**-digits)
+    step = max(1, min((1 << 21) // codebooks.size, (1 << 22) // (m * max(1, min(k, len(ids))))))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        i, j = kernels.shortlist("l2", back, part, k, near)
+        table = ((codebooks - part.reshape(len(part), m, 1, -1)) ** 2).sum(axis=3)
+        dist = table[i[:, None], np.arange(m)[None, :], codes[j]].sum(axis=1)
+        dist = dist if digits is None else np.round(dist, digits)
+        order = np.lexsort((ids[j], dist, i))
+        order = order[np.arange(len(order)) - np.searchsorted(i, i) < k]  # i is in order, sorted or not
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[at:][i[order]]), pa.array(ids[j[order]]), pa.array(dist[order])], ["query_id", "vec_id", "dist"])
+
+
 def learn_rotation(x: np.ndarray, m: int, bits: int, rounds: int = 25, seed: int = 42) -> np.ndarray:
     """(dim, dim) rotation: codes with the rotation fixed, then the rotation that best maps rows to their
     decoded ones (orthogonal Procrustes), by turns; the best one seen is returned."""
@@ -83,10 +103,7 @@ def adc_search(coded: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: i
         for b in batches:
             for ids, codes, q_ids, q in zip(*(c.to_pylist() for c in b.columns)):
                 ids, codes, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(codes, "<i2").reshape(-1, m), np.frombuffer(q_ids, "<i8")
-                for q_id, x in zip(q_ids, np.frombuffer(q).reshape(len(q_ids), -1)):
-                    dist = np.round(distances(x, codes, sent.value), 9)
-                    pick = np.lexsort((ids, dist))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), q_id)), pa.array(ids[pick]), pa.array(dist[pick])], ["query_id", "vec_id", "dist"])
+                yield from nearest_coded(q_ids, np.frombuffer(q).reshape(len(q_ids), -1), ids, codes, sent.value, k, 9)
 
     return best(tiles.crossJoin(blocks).mapInArrow(run, "query_id long, vec_id long, dist double"), k, "l2", "dist")
 
@@ -148,12 +165,7 @@ class IvfPqIndex:
             for b in batches:
                 for at, ids, codes, q_ids, q in zip(*(b.column(n).to_pylist() for n in ("list_id", "vec_id", "codes", "query_id", "q"))):
                     ids, codes = np.frombuffer(ids, "<i8"), np.frombuffer(codes, "<i2").reshape(-1, m)
-                    out = []
-                    for q_id, x in zip(np.frombuffer(q_ids, "<i8").tolist(), np.frombuffer(q).reshape(-1, d)):
-                        dist = distances(x - c[at], codes, books)
-                        pick = np.lexsort((ids, dist))[:k]
-                        out.append((np.full(len(pick), q_id), ids[pick], dist[pick]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["query_id", "vec_id", "dist"])
+                    yield from nearest_coded(np.frombuffer(q_ids, "<i8"), np.frombuffer(q).reshape(-1, d) - c[at], ids, codes, books, k)
 
         return best(meeting(tiles, blocks, spread).mapInArrow(run, "query_id long, vec_id long, dist double"), k, "l2", "dist")
 

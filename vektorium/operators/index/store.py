@@ -17,6 +17,9 @@ SPREAD = 4
 def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, n) numbers of the nearest centroids and their exact squared distances; ties go to the smaller number."""
     n = min(n, len(centroids))
+    if n == 1 and len(x):
+        lists, dist = _nearest_list(x, centroids)
+        return lists[:, None], dist[:, None]
     lists, dist = np.empty((len(x), n), np.int64), np.empty((len(x), n))
     for at in range(0, len(x), 1024):
         part = x[at : at + 1024]
@@ -29,6 +32,27 @@ def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> tuple[np.ndar
     return lists, dist
 
 
+def _nearest_list(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """nearest_lists for one list: only rows with several centroids about as near are looked at again."""
+    lists, twice, own = np.empty(len(x), np.int64), 2 * centroids.T, (centroids * centroids).sum(axis=1)
+    for at in range(0, len(x), 1024):
+        part = x[at : at + 1024]
+        with np.errstate(invalid="ignore", over="ignore"):
+            s = part @ twice
+            s -= own
+            top = s.argmax(axis=1)
+            floor = s[np.arange(len(part)), top]
+            room = 2 * kernels.NEAR * np.maximum(1.0, np.abs(floor) + (part * part).sum(axis=1))
+            alone = np.count_nonzero(s >= (floor - room)[:, None], axis=1) == 1
+        again = np.flatnonzero(~(alone & np.isfinite(floor)))
+        if len(again):
+            i, j, v = kernels.block_topk("l2", centroids, part[again], 1)
+            order = np.lexsort((j, v, i))
+            top[again] = j[order][np.searchsorted(i[order], np.arange(len(again)))]
+        lists[at : at + 1024] = top
+    return lists, kernels.exact("l2", centroids[lists], x)
+
+
 def assigned(base: DataFrame, centroids: np.ndarray, vec: str = "embedding") -> DataFrame:
     """base with list_id, the nearest centroid. The centroids are broadcast; their number is a build parameter."""
     sent = base.sparkSession.sparkContext.broadcast(centroids)
