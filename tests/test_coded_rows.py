@@ -41,3 +41,11 @@ def test_nearest_list_is_exact(monkeypatch):
     assert lists[:, 0].tolist() == d.argmin(axis=1).tolist() and dist[:, 0].tolist() == d.min(axis=1).tolist()
     assert 0 < sum(looked) < 3_000  # only rows with ties
     assert store.nearest_lists(np.zeros((0, 2)), c, 1)[0].shape == (0, 1)
+
+
+def test_training_looks_again_at_few_rows(monkeypatch):
+    looked = []
+    monkeypatch.setattr(kernels, "block_topk", lambda m, a, b, n, f=kernels.block_topk: looked.append(len(b)) or f(m, a, b, n))
+    x = np.random.default_rng(5).normal(size=(2_000, 8))
+    rotation = pq.learn_rotation(x, 4, 3, 2)
+    assert np.allclose(rotation @ rotation.T, np.eye(8)) and sum(looked) < 200
